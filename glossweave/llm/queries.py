@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, parsing, sharding, simhash, topk
+from . import bpe, chat, html, langid, mixing, parsing, sharding, simhash, topk, toxicity
 from .common import table
 
 
@@ -43,6 +43,23 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def id_crc(column: str = "doc_id"):
+    """crc32 of the id as text: what the contracts hold rows out by."""
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, id_crc() % 4 != 2)
+    out = langid.identify(docs, model)
+    return out.select("doc_id", F.coalesce(id_crc() % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), 5, 50)
 
@@ -51,6 +68,13 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.fingerprint_chain(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), id_crc() % 5 != 0)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", F.coalesce(id_crc() % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -59,6 +83,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_sharding, op4_mixing, op7_topk, op8_fingerprints, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_sharding, op4_mixing, op5_html, op6_langid, op7_topk, op8_fingerprints, op9_toxicity, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
