@@ -23,18 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for durable cuts: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session that names none
-    gets a temporary one; a cluster without a shared folder is refused.
+    Only a local session that names none gets a temporary one; a cluster without is refused.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    found = sc._jsc.sc().getCheckpointDir()
+    if found.isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="glossweave-"))
+        found = sc._jsc.sc().getCheckpointDir()
+    return found.get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -65,6 +72,11 @@ def ordered(df: DataFrame, keys: list[Column], weight: str | None = None) -> tup
     for r in sorted(per.collect()):  # one row per partition
         base[r["pid"]] = (n, total)
         n, total = n + r["n"], total + int(r["w"] or 0)
+    if not weight:
+        offsets = [base.get(i, (0, 0))[0] for i in range(max(base, default=0) + 1)]
+        within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        place = F.get(F.array(*[F.lit(o).cast("long") for o in offsets]), F.spark_partition_id()) + within
+        return cut.withColumn("_pos", place).withColumn("_start", F.lit(0).cast("long")), n, total
     schema = T.StructType([*cut.schema.fields, T.StructField("_pos", T.LongType()), T.StructField("_start", T.LongType())])
 
     def run(batches):
@@ -100,3 +112,39 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         step = large.join(low, "u")
         near = step.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpoint(near.unionByName(step.select("u", F.col("m").alias("v"))).distinct())
+
+
+def grouped(values: list, limit: int = 1 << 19):
+    """Index ranges of a list of strings or bytes, of about ``limit`` units each."""
+    at, size = 0, 0
+    for i, x in enumerate(values):
+        size += len(x or "")
+        if size >= limit:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(values):
+        yield at, len(values)
+
+
+def map_texts(docs: DataFrame, text: str, keep: tuple[str, ...], fields: list[T.StructField], fn) -> DataFrame:
+    """Columns ``keep`` and new ``fields``, made from column ``text`` by ``fn(texts)``.
+
+    ``fn`` gets a list of texts of bounded total size and returns one list of values a field.
+    The text is passed once, whether it is kept or not.
+    """
+    kept = [c for c in keep if c != text]
+    src = docs.select(*kept, F.col(text).alias("_text"))
+    names = [*kept, *([text] if text in keep else []), *[f.name for f in fields]]
+    types = [f.dataType for f in fields]
+    schema = T.StructType([*src.schema.fields[:-1], *([T.StructField(text, T.StringType())] if text in keep else []), *fields])
+    arrow = [{T.LongType: pa.int64(), T.DoubleType: pa.float64(), T.StringType: pa.string(), T.BinaryType: pa.binary()}[type(t)] for t in types]
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(len(kept)).to_pylist()
+            for lo, hi in grouped(texts):
+                part = b.slice(lo, hi - lo)
+                made = [pa.array(v, t) for v, t in zip(fn(texts[lo:hi]), arrow)]
+                yield pa.RecordBatch.from_arrays([*(part.columns if text in keep else part.columns[:-1]), *made], names=names)
+
+    return src.mapInArrow(run, schema)

@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import grouped, map_texts
+
 #: n-gram orders and the number of hashed features.
 ORDERS, FEATURES = (1, 2, 3), 1 << 16
 #: At most so many labelled rows a language fit the weights (in expectation; chosen by hashed id).
 SAMPLE_PER_LANGUAGE = 600
-#: Texts are read together in groups of about so many characters.
-GROUP_CHARS = 1 << 19
 UNKNOWN = "und"
 
 _NOT_LETTER = regex.compile(r"[^\p{L}\p{M}]+")
@@ -64,18 +64,6 @@ def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def grouped(values: list, limit: int = GROUP_CHARS):
-    """Index ranges of about ``limit`` characters each."""
-    at, size = 0, 0
-    for i, x in enumerate(values):
-        size += len(x or "")
-        if size >= limit:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(values):
-        yield at, len(values)
-
-
 class Model:
     """A fitted classifier: languages, one table row a feature (a weight each language, then the IDF), biases."""
 
@@ -198,18 +186,8 @@ def fit(docs: DataFrame, may_learn: Column, id: str = "doc_id", text: str = "tex
     return Model(languages, idf, weights * scale, bias, temperature(logits, y[held]))
 
 
-def identify(docs: DataFrame, model: Model | Broadcast, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep``, ``lang_pred`` and ``score`` of every row."""
+def identify(docs: DataFrame, model: Model | Broadcast, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` and, as ``names``, the language and its probability, of every row."""
     shared = model if isinstance(model, Broadcast) else docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(*keep, F.col(text).alias("_text"))
-
-    def run(batches):
-        m = shared.value
-        for b in batches:
-            texts = b.column(len(keep)).to_pylist()
-            for lo, hi in grouped(texts):
-                part = b.slice(lo, hi - lo)
-                names, scores = m.predict(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
-
-    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    fields = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
+    return map_texts(docs, text, keep, fields, lambda texts: shared.value.predict(texts))

@@ -16,48 +16,49 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import components
+from .common import checkpoint, components, map_texts
+from .parsing import mix64
 
 SEED = 42  # fixed by the contract
+#: Share of differing bits over 3-word shingles: texts alike by 0.8 or more on 5-word shingles stay below.
+LIMIT = 0.165
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The signed 64-bit fingerprint of one whole text."""
-    words = (text or "").encode().lower().split()  # bytes: ASCII case and ASCII white space only
-    if not words:
-        return 0
-    if len(words) <= width:
-        shingles = [b" ".join(words)]
+#: Odd steps that make further hashes of a shingle out of its first one.
+_STEP = 0x9E3779B97F4A7C15
+
+
+def fingerprint(text: str | None, width: int = 3, words: int = 1) -> np.ndarray:
+    """The fingerprint of one whole text as ``words`` signed 64-bit integers."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and white space only
+    if not tokens:
+        return np.zeros(words, "<i8")
+    if len(tokens) <= width:
+        shingles = [b" ".join(tokens)]
     else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
+        shingles = map(b" ".join, zip(*(tokens[i:] for i in range(width))))
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 16):  # bounded memory for any length
-        block = h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        bits = np.unpackbits(block, axis=1, bitorder="little").astype(np.float32)
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(h), 1 << 15):  # bounded memory for any length
+        part = h[at : at + (1 << 15)]
+        block = np.stack([part if k == 0 else mix64(part + np.uint64(_STEP * k & (1 << 64) - 1)) for k in range(words)], axis=1)
+        bits = np.unpackbits(block.astype("<u8").view(np.uint8), axis=1, bitorder="little").astype(np.float32)
         ones += (np.ones(len(bits), np.float32) @ bits).astype(np.int64)  # exact: under 2^24 a block
-    bits = np.packbits(ones * 2 > len(h), bitorder="little")
-    return int(bits.view("<i8")[0])
-
+    return np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")
 
-def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` and ``fp`` (long) of every row."""
-    src = docs.select(*keep, F.col(text).alias("_text"))
 
-    def run(batches):
-        for b in batches:
-            fps = [fingerprint(t, width) for t in b.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.int64())], names=[*keep, "fp"])
-
-    schema = src.drop("_text").schema.add("fp", "long")
-    return src.mapInArrow(run, schema)
+def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, keep: tuple[str, ...] = ("doc_id",), words: int = 1) -> DataFrame:
+    """Columns ``keep`` and ``fp`` (``fp0``, ``fp1``... for several words), longs, of every row."""
+    names = ["fp"] if words == 1 else [f"fp{k}" for k in range(words)]
+    fields = [T.StructField(n, T.LongType()) for n in names]
+    return map_texts(docs, text, keep, fields, lambda texts: np.stack([fingerprint(t, width, words) for t in texts], axis=1))
 
 
 def masks(half: int) -> list[int]:
@@ -83,9 +84,39 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
     """One row per document: ``id``, ``fp`` and ``component_id`` (the least id of its component)."""
-    fps = fingerprints(docs, text, width, (id,))
-    roots = components(links(fps, radius))
+    fps = checkpoint(fingerprints(docs, text, width, (id,)))  # a few bytes a document, read several times
+    return named(fps, components(links(fps, radius)), id)
+
+
+def named(fps: DataFrame, roots: DataFrame, id: str) -> DataFrame:
+    """Every row of ``fps`` with the least id of its fingerprint's component."""
     classes = fps.groupBy("fp").agg(F.min(id).alias("least"))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select(id, "fp", "component_id")
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(rooted.join(names, "root").select("fp", "component_id"), "fp").select(id, "fp", "component_id")
+
+
+def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, bands: int = 10, limit: float = LIMIT) -> DataFrame:
+    """One row per document: ``id``, ``fp`` and ``component_id``, for copies with a few edits.
+
+    A fingerprint of ``bands`` (an even number) bands of 32 bits is made. Every band emits its ball of half
+    radius 1, so fingerprints that differ in at most 2 bits of some band meet; a pair that meets is
+    linked if it differs in at most that share ``limit`` of all bits. In a meeting place each fingerprint is
+    compared with the least and with the two before it in order, so that a large group of copies
+    gives rows in proportion to its size.
+    """
+    words = [f"fp{k}" for k in range(bands // 2)]
+    fps = checkpoint(fingerprints(docs, text, width, (id,), len(words)).withColumn("fp", F.xxhash64(*words)))
+    nodes = fps.select("fp", *words).dropDuplicates(["fp"])
+    ball = []
+    for k in range(bands):
+        band = F.shiftrightunsigned(F.col(words[k // 2]), 32 * (k % 2)).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(k << 32))
+        ball += [band, *[band.bitwiseXOR(F.lit(1 << i)) for i in range(32)]]
+    met = nodes.select("fp", F.explode(F.array(*ball)).alias("variant"))
+    place = Window.partitionBy("variant").orderBy("fp")
+    met = met.select("fp", F.array(F.first("fp").over(place), F.lag("fp", 1).over(place), F.lag("fp", 2).over(place)).alias("others"))
+    pairs = met.where(F.get("others", F.lit(1)).isNotNull()).select(F.explode("others").alias("a"), F.col("fp").alias("b")).where("a < b").distinct()
+    left, right = nodes.select(F.col("fp").alias("a"), *[F.col(w).alias(f"a{w}") for w in words]), nodes.select(F.col("fp").alias("b"), *[F.col(w).alias(f"b{w}") for w in words])
+    apart = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in words[1:]), F.bit_count(F.col("afp0").bitwiseXOR(F.col("bfp0"))))
+    edges = pairs.join(left, "a").join(right, "b").where(apart <= int(limit * 64 * len(words))).select("a", "b")
+    return named(fps.select(id, "fp"), components(edges), id)

@@ -27,8 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint
-from .langid import grouped
+from .common import checkpoint, map_texts
 
 #: About so many labelled rows fit the model; the lexicon keeps so many terms.
 SAMPLE_ROWS, LEXICON_TERMS = 12_000, 2_000
@@ -262,16 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id: str = "doc_id
     return Model(whole, Trees().fit(x, y), isotonic(margin, y))
 
 
-def score(docs: DataFrame, model: Model | Broadcast, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` and ``score`` (0 to 1) of every row."""
+def score(docs: DataFrame, model: Model | Broadcast, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """Columns ``keep`` and ``name``, the score (0 to 1), of every row."""
     shared = model if isinstance(model, Broadcast) else docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(*keep, F.col(text).alias("_text"))
-
-    def run(batches):
-        for b in batches:
-            texts = b.column(len(keep)).to_pylist()
-            for lo, hi in grouped(texts):
-                part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(shared.value.score(texts[lo:hi]), pa.float64())], names=[*keep, "score"])
-
-    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
+    return map_texts(docs, text, keep, [T.StructField(name, T.DoubleType())], lambda texts: [shared.value.score(texts)])
