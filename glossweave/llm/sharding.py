@@ -12,14 +12,14 @@ shards empty; an empty table gives an empty table; only the named columns are re
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from .common import bounded, ordered
 
 ROW_BYTES = 16  # fixed by the contract
+#: The grid's curve indices are one broadcast table of at most 2^MAX_GRID_BITS rows.
+MAX_GRID_BITS = 18
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -69,12 +69,19 @@ def shard(docs: DataFrame, shards: int = 40, id: str = "doc_id", text: str = "te
         df = with_rank_cell(df, f"d{i}", 1 << bits, f"c{i}")
     top = (1 << bits) - 1
     df = df.withColumn("cs", F.least(F.floor(F.log2(F.col("size").cast("double")) * top / F.lit(31.0)), F.lit(top)).cast("int"))
-    index = pandas_udf(lambda cells: pd.Series(hilbert_index(cells.to_numpy(), bits)), "long")
-    df = df.select("id", "size", "text_crc32", index(F.struct(*[f"c{i}" for i in range(len(dimensions))], "cs")).alias("curve"))
+    width = len(dimensions) + 1
+    if bits * width > MAX_GRID_BITS:
+        raise ValueError(f"the grid has more than 2^{MAX_GRID_BITS} cells")
+    cells = np.arange(1 << bits * width)
+    points = np.stack([(cells >> bits * (width - 1 - i)) & top for i in range(width)], axis=1)
+    grid = docs.sparkSession.createDataFrame(list(zip(cells.tolist(), hilbert_index(points, bits).tolist())), "cell long, curve long")
+    cell = F.lit(0).cast("long")
+    for c in [*(f"c{i}" for i in range(len(dimensions))), "cs"]:
+        cell = cell * (1 << bits) + F.col(c)
+    df = df.withColumn("cell", cell).join(F.broadcast(grid), "cell")  # at most 2^MAX_GRID_BITS rows of 16 bytes
+    df = df.select("id", "size", "text_crc32", "curve")
     df, n, _ = ordered(df, [F.col("curve"), F.col("text_crc32"), F.col("id"), F.col("size")])
-    cut = F.floor(F.col("_pos") * shards / F.lit(max(n, 1)))
-    # exact integer cut: _pos * shards stays below 2^53 up to 2e14 rows
-    df = df.withColumn("shard", F.expr(f"int((_pos * {shards}L) div {max(n, 1)}L)")) if n else df.withColumn("shard", cut.cast("int"))
+    df = df.withColumn("shard", F.expr(f"int((_pos * {shards}L) div {max(n, 1)}L)"))
     first = F.expr(f"(shard * {n}L + {shards - 1}L) div {shards}L")
     return df.select(F.col("id").alias(id), "size", "text_crc32", "curve", "shard", (F.col("_pos") - first).alias("slot"))
 
