@@ -1,6 +1,32 @@
-"""All queries of the engine with the SQL that states the same result."""
+"""All queries of the engine with the SQL that states the same result.
+
+A query is a thin binding of operators to the tables; the operators live in the other packages.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query under ``name``, with its SQL where there is one."""
+
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLE_SQL[name] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from . import q_aggregates, q_io, q_joins, q_mining, q_overlay, q_text  # noqa: E402, F401
