@@ -26,7 +26,7 @@ CP1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–
 
 def lines(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
     """file, line_no (in file order), line. Read whole files, as line numbers need them."""
-    raw = spark.read.options(wholetext="true", **options).text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("v"))
+    raw = spark.read.options(**options).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("v"))
     split = raw.select("file", F.posexplode(F.split("v", "\r\n|\r|\n")).alias("line_no", "line"))
     return split.withColumn("line_no", F.col("line_no") + 1)
 
@@ -86,7 +86,7 @@ def json_entries(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame,
     raw = spark.read.schema(DSD_SCHEMA).option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("file", F.col("_metadata.file_path"))
     good = raw.where("_bad is null and form_id is not null or _bad is null and editor_id is not null").drop("_bad")
     w = Window.partitionBy("file").orderBy(F.monotonically_increasing_id())
-    return good.withColumn("entry_no", F.row_number().over(w)), raw.where("_bad is not null").select("file").distinct()
+    return good.withColumn("entry_no", F.row_number().over(w)), raw.where("_bad is not null and form_id is null").select("file").distinct()
 
 
 def xml_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -98,10 +98,13 @@ def xml_pairs(spark: SparkSession, path: str) -> DataFrame:
     return out.where("plugin is not null and type is not null and english is not null and japanese is not null")
 
 
-def interface(spark: SparkSession, path: str, encoding: str = "UTF-16") -> DataFrame:
-    """$key TAB value files: the last value of a key, in the order of first lines. Encoding by byte-order mark."""
-    rows = lines(spark, path, encoding=encoding).where("startswith(line, '$') and contains(line, '\t')")
-    pairs = rows.select("file", "line_no", F.substring_index("line", "\t", 1).alias("key"), F.regexp_replace("line", "^[^\t]*\t", "").alias("value"))
+def interface(spark: SparkSession, path: str) -> DataFrame:
+    """$key TAB value files: the last value of a key, in the order of first lines. UTF-16 by its byte-order mark, else UTF-8."""
+    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    mark = F.hex(F.substring("content", 1, 2))
+    text = F.when(mark.isin("FFFE", "FEFF"), F.decode("content", "UTF-16")).otherwise(F.decode("content", "UTF-8"))
+    rows = raw.select("file", F.posexplode(F.split(F.regexp_replace(text, "^\ufeff", ""), "\r\n|\r|\n")).alias("line_no", "line")).where("startswith(line, '$') and contains(line, '\t')")
+    pairs = rows.select("file", (F.col("line_no") + 1).alias("line_no"), F.substring_index("line", "\t", 1).alias("key"), F.regexp_replace("line", "^[^\t]*\t", "").alias("value"))
     return last_wins(pairs)
 
 

@@ -60,10 +60,17 @@ def interface_lines(df: DataFrame) -> DataFrame:
 
 
 def write_interface(df: DataFrame, path: str) -> None:
-    """UTF-16 little-endian with a mark and CRLF ends; one file of strings, in order."""
-    body = interface_lines(df).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    text = F.concat(F.lit("﻿"), F.array_join("l.line", "\r\n"))
-    body.select(text.alias("value")).write.mode("overwrite").option("encoding", "UTF-16LE").option("lineSep", "\r\n").text(path)
+    """One UTF-16 little-endian file with a mark and CRLF ends. Spark's text writer knows UTF-8 only, and such a file is one
+    mod's strings, so the driver streams its lines to the file system of ``path``."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(b"\xff\xfe"))
+        for r in interface_lines(df).orderBy("line_no").toLocalIterator():
+            out.write(bytearray((r["line"] + "\r\n").encode("utf-16-le")))
+    finally:
+        out.close()
 
 
 def prompt_package(df: DataFrame) -> DataFrame:
