@@ -24,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import grouped, map_texts
+from .common import grouped, map_texts, partitions, release
 
 #: n-gram orders and the number of hashed features.
 ORDERS, FEATURES = (1, 2, 3), 1 << 16
+#: Document frequencies are added up in so many pieces.
+PIECES = 64
 #: At most so many labelled rows a language fit the weights (in expectation; chosen by hashed id).
 SAMPLE_PER_LANGUAGE = 600
 UNKNOWN = "und"
@@ -148,11 +150,19 @@ def fit(docs: DataFrame, may_learn: Column, id: str = "doc_id", text: str = "tex
                     seen[part.ravel()] = True
                     df += seen
         df[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array([df.astype("<i8").tobytes()], pa.binary())], names=["df"])
+        parts = [x.astype("<i8").tobytes() for x in np.array_split(df, PIECES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], names=["piece", "df"])
 
-    df = np.zeros(FEATURES + 1, np.int64)  # one vector of fixed size a task
-    for r in rows.select("text").mapInArrow(frequencies, "df binary").toLocalIterator():
-        df += np.frombuffer(r["df"], "<i8")
+    def added(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                sums[k] = sums.get(k, 0) + np.frombuffer(raw, "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["piece", "df"])
+
+    schema = "piece int, df binary"
+    per = rows.select("text").mapInArrow(frequencies, schema).repartition(min(PIECES, partitions(docs.sparkSession)), "piece")
+    df = np.concatenate([np.frombuffer(r["df"], "<i8") for r in sorted(per.mapInArrow(added, schema).collect())])  # one vector of fixed size
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     share = F.lit(0.0)
@@ -173,16 +183,17 @@ def fit(docs: DataFrame, may_learn: Column, id: str = "doc_id", text: str = "tex
 
     got = picked.select("text", "lang", "id").mapInArrow(features, "lang string, i binary, v binary, id long").collect()  # about `sample` rows a language
     got.sort(key=lambda r: (r["id"], r["lang"], r["i"], r["v"]))
-    x = [(np.append(np.frombuffer(r["i"], "<i4"), FEATURES), np.append(np.frombuffer(r["v"], "<f4"), np.float32(0.1))) for r in got]
     # weights are learned on unit-scale inputs, so that steps do not depend on text length
     scale = 30.0
-    x = [(i, np.append(v[:-1] * scale, 1.0)) for i, v in x]
+    x = [(np.append(np.frombuffer(r["i"], "<i4"), np.int32(FEATURES)), np.append(np.frombuffer(r["v"], "<f4") * np.float32(scale), np.float32(1))) for r in got]
     y = np.array([languages.index(r["lang"]) for r in got])
     held = np.arange(len(y)) % 5 == 4
     train = np.flatnonzero(~held)
     weights, bias = ftrl([x[k] for k in train], y[train], len(languages))
     full = np.vstack([weights, bias])
     logits = np.array([v @ full[i] for i, v in (x[k] for k in np.flatnonzero(held))]).reshape(-1, len(languages))
+    del x, got
+    release(docs.sparkSession)
     return Model(languages, idf, weights * scale, bias, temperature(logits, y[held]))
 
 

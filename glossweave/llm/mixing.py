@@ -92,7 +92,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
         .select("row", "six", "block", "at", F.greatest(F.col("at"), F.col("block") * b).alias("lo"), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * b).alias("hi"))
         .select("row", "six", "block", (F.col("lo") - F.col("at")).alias("offset"), (F.col("hi") - F.col("lo")).alias("words"))
     )
-    schedule = slots(spark, goal, blocks, b, cap).join(pieces, ["six", "block"]).select("slot", "row", "offset", "words")
+    schedule = slots(spark, goal, blocks, b, cap).hint("merge").join(pieces, ["six", "block"]).select("slot", "row", "offset", "words")
     return documents.drop("six", "at"), schedule
 
 

@@ -108,11 +108,10 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     words = [f"fp{k}" for k in range(bands // 2)]
     fps = checkpoint(fingerprints(docs, text, width, (id,), len(words)).withColumn("fp", F.xxhash64(*words)))
     nodes = fps.select("fp", *words).dropDuplicates(["fp"])
-    ball = []
-    for k in range(bands):
-        band = F.shiftrightunsigned(F.col(words[k // 2]), 32 * (k % 2)).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(k << 32))
-        ball += [band, *[band.bitwiseXOR(F.lit(1 << i)) for i in range(32)]]
-    met = nodes.select("fp", F.explode(F.array(*ball)).alias("variant"))
+    band = lambda k: F.shiftrightunsigned(F.col(words[k // 2]), 32 * (k % 2)).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(k << 32))
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
+    met = nodes.select("fp", F.explode(F.array(*[band(k) for k in range(bands)])).alias("band"))
+    met = met.select("fp", "band", F.explode(flips).alias("flip")).select("fp", F.col("band").bitwiseXOR(F.col("flip")).alias("variant"))
     place = Window.partitionBy("variant").orderBy("fp")
     met = met.select("fp", F.array(F.first("fp").over(place), F.lag("fp", 1).over(place), F.lag("fp", 2).over(place)).alias("others"))
     pairs = met.where(F.get("others", F.lit(1)).isNotNull()).select(F.explode("others").alias("a"), F.col("fp").alias("b")).where("a < b").distinct()

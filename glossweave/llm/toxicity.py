@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, map_texts
+from .common import checkpoint, map_texts, release
 
 #: About so many labelled rows fit the model; the lexicon keeps so many terms.
 SAMPLE_ROWS, LEXICON_TERMS = 12_000, 2_000
@@ -258,7 +258,10 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id: str = "doc_id
         learn, rest = fold != k, fold == k
         if rest.any():
             margin[rest] = Trees().fit(x[learn], y[learn]).margin(x[rest]) if learn.any() else 0.0
-    return Model(whole, Trees().fit(x, y), isotonic(margin, y))
+    model = Model(whole, Trees().fit(x, y), isotonic(margin, y))
+    del got, strong
+    release(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Model | Broadcast, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
