@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .overlay import first_rows
 
 OWN_PREFIX = "SJPTS_"
 
@@ -37,20 +38,22 @@ def judge(found: DataFrame) -> DataFrame:
     return found.withColumn("own", own).withColumn("is_covered", covered).withColumn("is_stale", covered & ~own & changed)
 
 
-def roll_up(covered: DataFrame, candidates: DataFrame, plugin: str, text: str, order: str) -> DataFrame:
-    """Coverage per plugin (case ignored) from two row sets, as the source counts them: a covered row that is also
-    a candidate counts on both sides; pass candidates without covered rows for a strict count."""
-    side = lambda df, n, c: df.groupBy(F.lower(plugin).alias("k")).agg(F.min(plugin).alias(f"name_{n}"), F.count(F.lit(1)).alias(n), F.sum(F.char_length(text)).cast("long").alias(c))
-    first = F.slice(F.array_sort(F.collect_list(F.struct(order, text))), 1, 3)
-    done, open_ = side(covered, "translated", "translated_chars"), side(candidates, "untranslated", "untranslated_chars")
-    # samples come from the three least rows of each plugin, not from a list of all of them
-    from .overlay import first_rows
-
-    samples = first_rows(candidates.withColumn("k", F.lower(plugin)), ["k"], [F.asc(order), F.asc(text)], 3)
-    samples = samples.groupBy("k").agg(F.array_join(F.transform(first, lambda s: X.preview(s[text])), " / ").alias("sample"))
-    out = done.join(open_, "k", "full").join(samples, "k", "left")
-    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    out = out.select(F.coalesce("name_untranslated", "name_translated").alias("plugin"), n("translated").alias("translated"), n("untranslated").alias("untranslated"), n("translated_chars").alias("translated_chars"), n("untranslated_chars").alias("untranslated_chars"), F.coalesce("sample", F.lit("")).alias("sample"))
+def roll_up(rows: DataFrame, covered: Column, candidate: Column, plugin: str, text: str, order: str) -> DataFrame:
+    """Coverage per plugin (case ignored) in one pass over the rows.
+
+    As the source counts, a row that is both covered and a candidate counts on both sides; pass
+    disjoint conditions for a strict count. Counts are first made per spelling of the plugin, so that they
+    are fixed-width hash aggregates; spellings are merged afterwards, one row each.
+    """
+    chars = lambda on: F.sum(F.when(on, F.char_length(text)).otherwise(0)).cast("long")
+    per = rows.groupBy(plugin).agg(F.count_if(covered).alias("translated"), F.count_if(candidate).alias("untranslated"), chars(covered).alias("translated_chars"), chars(candidate).alias("untranslated_chars"))
+    per = per.where("translated + untranslated > 0").withColumn("k", F.lower(plugin))
+    sums = ["translated", "untranslated", "translated_chars", "untranslated_chars"]
+    out = per.groupBy("k").agg(F.min(plugin).alias("plugin"), *[F.sum(c).alias(c) for c in sums])
+    # samples: the three least candidate rows of a plugin, pruned before the shuffle
+    least = first_rows(rows.where(candidate).select(F.lower(plugin).alias("k"), order, text), ["k"], [F.asc(order), F.asc(text)], 3)
+    sample = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda s: X.preview(s[text])), " / ")
+    out = out.join(least.groupBy("k").agg(sample.alias("sample")), "k", "left").select("plugin", *sums, F.coalesce("sample", F.lit("")).alias("sample"))
     total = F.col("translated") + F.col("untranslated")
-    chars = F.col("translated_chars") + F.col("untranslated_chars")
-    return out.withColumn("total", total).withColumn("ratio", F.round(X.percent(F.col("translated"), total), 6)).withColumn("chars_ratio", F.round(X.percent(F.col("translated_chars"), chars), 6))
+    all_chars = F.col("translated_chars") + F.col("untranslated_chars")
+    return out.withColumn("total", total).withColumn("ratio", F.round(X.percent(F.col("translated"), total), 6)).withColumn("chars_ratio", F.round(X.percent(F.col("translated_chars"), all_chars), 6))

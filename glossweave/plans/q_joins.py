@@ -57,7 +57,7 @@ ROLL = """SELECT coalesce(c.plugin, u.plugin) AS plugin, coalesce(c.n, 0) AS tra
 @query("a01_coverage_rollup", COVER_SQL + ROLL)
 def a01(spark, d):
     j = coverage.judge(coverage.lookup(records(spark, d), entries(spark, d)))
-    return coverage.roll_up(j.where("is_covered"), j.where("not is_covered or own"), "plugin", "text", "p_partkey")
+    return coverage.roll_up(j, F.col("is_covered"), ~F.col("is_covered") | F.col("own"), "plugin", "text", "p_partkey")
 
 
 @query("j05_exact_lookup", """WITH c AS (SELECT p_name AS key, arg_min(p_brand, struct_pack(t := CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, r := p_partkey)) AS ja, arg_min(p_size % 4, struct_pack(t := CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, r := p_partkey)) AS k, bool_or(p_type = 'PROMO') AS npc FROM part WHERE p_partkey % 2 = 0 GROUP BY 1)
