@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import grouped, unused
+
 #: Distinct words whose encoding a task keeps at once; beyond it the cache starts anew.
 CACHE_WORDS = 400_000
 #: Texts are taken from a batch in groups of about so many characters.
@@ -194,29 +196,17 @@ class Encoder:
         return [b"".join(map(get, s)) for s in split]
 
 
-def groups(values: list, limit: int = GROUP_CHARS):
-    """Slices of a list of strings or bytes, of about ``limit`` units each."""
-    at, size = 0, 0
-    for i, x in enumerate(values):
-        size += len(x or "")
-        if size >= limit:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(values):
-        yield at, len(values)
-
-
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
     """Replace column ``text`` by ``out``: the ids as binary, 4 little-endian bytes each."""
     keep = [c for c in docs.columns if c not in (text, out)]
-    src = docs.select(*keep, F.col(text).alias("_text"))
+    src = docs.select(*keep, F.col(text).alias(unused(docs.columns, "_text")))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a vocabulary file, of fixed size
 
     def run(batches):
         coder = Encoder(shared.value)
         for b in batches:
             texts = b.column(len(keep)).to_pylist()
-            for lo, hi in groups(texts):
+            for lo, hi in grouped(texts, GROUP_CHARS):
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(coder.encode(texts[lo:hi]), pa.binary())], names=[*keep, out])
 
@@ -233,7 +223,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: st
         tokens = shared.value
         for b in batches:
             rows = b.column(len(keep)).to_pylist()
-            for lo, hi in groups(rows):
+            for lo, hi in grouped(rows, GROUP_CHARS):
                 part = b.slice(lo, hi - lo)
                 texts = [" ".join([tokens[i] for i in np.frombuffer(r or b"", "<u4").tolist()]) for r in rows[lo:hi]]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*keep, ids, out])

@@ -134,6 +134,14 @@ def grouped(values: list, limit: int = 1 << 19):
         yield at, len(values)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so (case ignored)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def map_texts(docs: DataFrame, text: str, keep: tuple[str, ...], fields: list[T.StructField], fn) -> DataFrame:
     """Columns ``keep`` and new ``fields``, made from column ``text`` by ``fn(texts)``.
 
@@ -141,7 +149,7 @@ def map_texts(docs: DataFrame, text: str, keep: tuple[str, ...], fields: list[T.
     The text is passed once, whether it is kept or not.
     """
     kept = [c for c in keep if c != text]
-    src = docs.select(*kept, F.col(text).alias("_text"))
+    src = docs.select(*kept, F.col(text).alias(unused(docs.columns, "_text")))
     names = [*kept, *([text] if text in keep else []), *[f.name for f in fields]]
     types = [f.dataType for f in fields]
     schema = T.StructType([*src.schema.fields[:-1], *([T.StructField(text, T.StringType())] if text in keep else []), *fields])
