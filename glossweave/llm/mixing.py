@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WORD, ordered
 
@@ -48,6 +49,23 @@ def block_words(total: float, block: int | None) -> int:
     return block or int(min(2048, max(1, total // (1 << 20))))
 
 
+def thresholds(goal: list[float]) -> np.ndarray:
+    """Upper ends of the sources' shares of the 64-bit circle; the last source with a share ends at its top."""
+    top = (1 << 64) - 1
+    if not sum(goal):
+        return np.zeros(0, np.uint64)
+    ends = [min(top, int(c / sum(goal) * 2.0**64)) for c in np.cumsum(goal)]
+    last = max(i for i, g in enumerate(goal) if g > 0)
+    return np.array([top if i >= last else e for i, e in enumerate(ends)], np.uint64)
+
+
+def permuted(r: np.ndarray, step: np.ndarray, shift: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(r * step + shift) mod n, exact: in Python integers where the product could overflow."""
+    if len(n) and n.max() >= 1 << 31:
+        r, step, shift, n = (x.astype(object) for x in (r, step, shift, n))
+    return ((r * step + shift) % n).astype(np.int64)
+
+
 def step_for(n: int) -> int:
     """A step near n / phi without a common divisor with n: r -> r * step mod n permutes 0..n-1."""
     s = max(1, int(n * 0.6180339887498949))
@@ -102,10 +120,7 @@ def slots(spark, goal: list[float], blocks: list[int], b: int, cap: float) -> Da
     total = sum(goal)
     count = math.ceil(total / b) if total else 0
     chunks = -(-count // CHUNK)
-    edges = [min(int(c / total * 2.0**64), (1 << 64) - 1) for c in np.cumsum(goal)] if total else []
-    if edges:
-        edges[max(i for i, g in enumerate(goal) if g > 0) :] = [(1 << 64) - 1] * (len(edges) - max(i for i, g in enumerate(goal) if g > 0))
-    shared = spark.sparkContext.broadcast((np.array(edges, np.uint64), np.array(blocks, np.int64), np.array([step_for(n) if n else 1 for n in blocks], np.int64)))
+    shared = spark.sparkContext.broadcast((thresholds(goal), np.array(blocks, np.int64), np.array([step_for(n) if n else 1 for n in blocks], np.int64)))
 
     def drawn(chunk: int) -> tuple[np.ndarray, np.ndarray]:
         k = np.arange(chunk * CHUNK, min(count, (chunk + 1) * CHUNK), dtype=np.int64)
@@ -136,12 +151,9 @@ def slots(spark, goal: list[float], blocks: list[int], b: int, cap: float) -> Da
                 ok = rank < np.floor(cap * n_blocks[six]).astype(np.int64)  # never beyond the cap
                 k, six, rank = k[ok], six[ok], rank[ok]
                 n = n_blocks[six]
-                epoch, r = rank // n, rank % n
-                yield pd.DataFrame({"slot": k, "six": six.astype("int32"), "block": (r.astype(object) * steps[six] + epoch).astype(object) % n if count > 1 << 31 else (r * steps[six] + epoch) % n})
+                yield pd.DataFrame({"slot": k, "six": six.astype("int32"), "block": permuted(rank % n, steps[six], rank // n, n)})
 
     per = spark.range(0, chunks, 1, max(1, min(chunks, 10_000))).mapInPandas(counted, "chunk long, six int, n long")
-    from pyspark.sql.window import Window
-
     upto = Window.partitionBy("six").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = per.withColumn("n", F.coalesce(F.sum("n").over(upto), F.lit(0))).groupBy("chunk").agg(F.collect_list(F.struct("six", "n")).alias("before"))
     return before.mapInPandas(ranked, "slot long, six int, block long")
