@@ -13,6 +13,7 @@ has no other; an empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -28,6 +29,8 @@ from .parsing import mix64
 SEED = 42  # fixed by the contract
 #: Share of differing bits over 3-word shingles: texts alike by 0.8 or more on 5-word shingles stay below.
 LIMIT = 0.165
+#: Bits by which the first 64 may differ more than that share before a pair is fetched for the full comparison.
+SLACK = 5
 
 
 #: Odd steps that make further hashes of a shingle out of its first one.
@@ -102,7 +105,7 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     A fingerprint of ``bands`` (an even number) bands of 32 bits is made. Every band emits its ball of half
     radius 1, so fingerprints that differ in at most 2 bits of some band meet; a pair that meets is
     linked if it differs in at most that share ``limit`` of all bits. In a meeting place each fingerprint is
-    compared with the least and with the two before it in order, so that a large group of copies
+    compared with the least and with the one before it in order, so that a large group of copies
     gives rows in proportion to its size.
     """
     words = [f"fp{k}" for k in range(bands // 2)]
@@ -110,11 +113,13 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     nodes = fps.select("fp", *words).dropDuplicates(["fp"])
     band = lambda k: F.shiftrightunsigned(F.col(words[k // 2]), 32 * (k % 2)).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(k << 32))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
-    met = nodes.select("fp", F.explode(F.array(*[band(k) for k in range(bands)])).alias("band"))
-    met = met.select("fp", "band", F.explode(flips).alias("flip")).select("fp", F.col("band").bitwiseXOR(F.col("flip")).alias("variant"))
-    place = Window.partitionBy("variant").orderBy("fp")
-    met = met.select("fp", F.array(F.first("fp").over(place), F.lag("fp", 1).over(place), F.lag("fp", 2).over(place)).alias("others"))
-    pairs = met.where(F.get("others", F.lit(1)).isNotNull()).select(F.explode("others").alias("a"), F.col("fp").alias("b")).where("a < b").distinct()
+    met = nodes.select("fp", "fp0", F.explode(F.array(*[band(k) for k in range(bands)])).alias("band"))
+    met = met.select("fp", "fp0", "band", F.explode(flips).alias("flip")).select(F.struct("fp", "fp0").alias("x"), F.col("band").bitwiseXOR(F.col("flip")).alias("variant"))
+    place = Window.partitionBy("variant").orderBy("x")
+    met = met.withColumn("first", F.first("x").over(place)).withColumn("last", F.lag("x").over(place)).where("last is not null")
+    near = lambda y: F.bit_count(y["fp0"].bitwiseXOR(F.col("x.fp0"))) <= math.ceil(64 * limit) + SLACK
+    others = F.filter(F.array_distinct(F.array("first", "last")), near)
+    pairs = met.select(F.col("x.fp").alias("b"), F.explode(others).alias("y")).select(F.col("y.fp").alias("a"), "b").distinct()
     left, right = nodes.select(F.col("fp").alias("a"), *[F.col(w).alias(f"a{w}") for w in words]), nodes.select(F.col("fp").alias("b"), *[F.col(w).alias(f"b{w}") for w in words])
     apart = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in words[1:]), F.bit_count(F.col("afp0").bitwiseXOR(F.col("bfp0"))))
     edges = pairs.join(left, "a").join(right, "b").where(apart <= int(limit * 64 * len(words))).select("a", "b")
