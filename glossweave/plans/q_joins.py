@@ -61,7 +61,7 @@ def a01(spark, d):
 
 
 @query("j05_exact_lookup", """WITH c AS (SELECT p_name AS key, arg_min(p_brand, struct_pack(t := CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, r := p_partkey)) AS ja, arg_min(p_size % 4, struct_pack(t := CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, r := p_partkey)) AS k, bool_or(p_type = 'PROMO') AS npc FROM part WHERE p_partkey % 2 = 0 GROUP BY 1)
- SELECT p.p_partkey, CASE WHEN p.p_partkey % 3 <> 0 OR c.npc THEN c.ja END AS japanese, CASE WHEN p.p_partkey % 3 <> 0 OR c.npc THEN CASE c.k WHEN 0 THEN 'SJPTS_AutoCorpus' WHEN 1 THEN 'SJPTS_AutoCorpusReferenceTaiyaku' WHEN 2 THEN 'SJPTS_AutoCorpusDsd' ELSE 'SJPTS_AutoCorpusImported' END END AS method
+ SELECT p.p_partkey, CASE WHEN p.p_partkey % 3 <> 0 OR c.npc THEN c.ja END AS japanese, CASE WHEN c.key IS NOT NULL AND (p.p_partkey % 3 <> 0 OR c.npc) THEN CASE c.k WHEN 0 THEN 'SJPTS_AutoCorpus' WHEN 1 THEN 'SJPTS_AutoCorpusReferenceTaiyaku' WHEN 2 THEN 'SJPTS_AutoCorpusDsd' ELSE 'SJPTS_AutoCorpusImported' END END AS method
  FROM part p LEFT JOIN c ON c.key = p.p_name""")
 def j05(spark, d):
     dic = exact(spark, d, "p_partkey % 2 = 0")
