@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossweave.llm import bpe, langid, mixing, simhash, toxicity
-from glossweave.llm.common import checkpoint_dir, table
+from glossweave.llm.common import checkpoint, checkpoint_dir, partitions, table
 from glossweave.llm.queries import id_crc
 
 #: A document whose language is predicted with less than this probability is rejected.
@@ -57,14 +57,38 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return once.select(*docs.columns)
 
 
+def whole_copies(planned: DataFrame) -> DataFrame:
+    """Rows (id, copies, rows): how often an id's rows are repeated together, rounded so that the words of a source come near
+    its plan. A row gets its planned share of copies rounded down, or one more when the words that its source is still owed call
+    for it. The debt is carried along the rows of a source in a task, so it stays near half of a long document there."""
+
+    def run(batches):
+        owed: dict = {}
+        for p in batches:
+            copies = []
+            for source, size, words in zip(p["source"], p["size"].tolist(), p["taken"].tolist()):
+                source = None if source is None or source != source else source
+                debt = owed.get(source, 0) + words
+                least = words // max(size, 1)
+                n = least + (size > 0 and words > least * size and 2 * (debt - least * size) >= size)
+                owed[source] = debt - n * size
+                copies.append(int(n))
+            p["copies"] = copies
+            yield p[["id", "copies"]]
+
+    runs = planned.select("row", "id", "source", "size", "taken").repartition(partitions(planned.sparkSession), F.expr("row div 1024")).sortWithinPartitions("row")
+    return runs.mapInPandas(run, "id long, copies long").groupBy("id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or drop documents so that sources meet their target weights: as many copies as the mix takes, rounded."""
+    """Repeat or drop documents so that sources meet their target weights: the copies that the mix takes, rounded within each source."""
     keyed = docs.withColumn("_hash", F.xxhash64(*docs.columns))
-    taken = mixing.taken(*mixing.mix(keyed, id="_hash"))
-    copies = taken.groupBy("id").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("ratio"))
-    copies = copies.select(F.col("id").alias("_hash"), F.floor(F.col("ratio") + 0.5).cast("int").alias("_copies")).where("_copies > 0")
-    out = keyed.join(copies, "_hash").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*docs.columns)
+    copies = checkpoint(whole_copies(mixing.taken(*mixing.mix(keyed, id="_hash"))).where("copies > 0").select(F.col("id").alias("_hash"), F.col("copies").cast("int").alias("_copies"), F.col("rows").alias("_n")))
+    out = keyed.join(copies.where("_n = 1"), "_hash")
+    again = copies.where("_n > 1")
+    if not again.isEmpty():  # rows that agree in every column share their copies
+        out = out.unionByName(keyed.join(again, "_hash").dropDuplicates(["_hash"]))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
