@@ -104,23 +104,38 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
 
     A fingerprint of ``bands`` (an even number) bands of 32 bits is made. Every band emits its ball of half
     radius 1, so fingerprints that differ in at most 2 bits of some band meet; a pair that meets is
-    linked if it differs in at most that share ``limit`` of all bits. In a meeting place each fingerprint is
-    compared with the least and with the one before it in order, so that a large group of copies
-    gives rows in proportion to its size.
+    linked if it differs in at most that share ``limit`` of all bits. First each fingerprint is tied to the nearest of
+    those that are first or just before it in a meeting place, which joins most of a large group in rows in proportion to
+    its size; then all pairs that meet and are still in different components are compared.
     """
     words = [f"fp{k}" for k in range(bands // 2)]
     fps = checkpoint(fingerprints(docs, text, width, (id,), len(words)).withColumn("fp", F.xxhash64(*words)))
     nodes = fps.select("fp", *words).dropDuplicates(["fp"])
     band = lambda k: F.shiftrightunsigned(F.col(words[k // 2]), 32 * (k % 2)).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(k << 32))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
-    met = nodes.select("fp", "fp0", F.explode(F.array(*[band(k) for k in range(bands)])).alias("band"))
-    met = met.select("fp", "fp0", "band", F.explode(flips).alias("flip")).select(F.struct("fp", "fp0").alias("x"), F.col("band").bitwiseXOR(F.col("flip")).alias("variant"))
+    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= math.ceil(64 * limit) + SLACK
+
+    def places(df: DataFrame, *keep: str) -> DataFrame:
+        met = df.select(*keep, F.explode(F.array(*[band(k) for k in range(bands)])).alias("band"))
+        return met.select(*keep, "band", F.explode(flips).alias("flip")).select(*keep, F.col("band").bitwiseXOR(F.col("flip")).alias("variant"))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        left, right = nodes.select(F.col("fp").alias("a"), *[F.col(w).alias(f"a{w}") for w in words]), nodes.select(F.col("fp").alias("b"), *[F.col(w).alias(f"b{w}") for w in words])
+        apart = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in words[1:]), F.bit_count(F.col("afp0").bitwiseXOR(F.col("bfp0"))))
+        return pairs.join(left, "a").join(right, "b").withColumn("apart", apart).where(F.col("apart") <= int(limit * 64 * len(words))).select("a", "b", "apart")
+
+    met = places(nodes, "fp", "fp0").select(F.struct("fp", "fp0").alias("x"), "variant")
     place = Window.partitionBy("variant").orderBy("x")
     met = met.withColumn("first", F.first("x").over(place)).withColumn("last", F.lag("x").over(place)).where("last is not null")
-    near = lambda y: F.bit_count(y["fp0"].bitwiseXOR(F.col("x.fp0"))) <= math.ceil(64 * limit) + SLACK
-    others = F.filter(F.array_distinct(F.array("first", "last")), near)
+    others = F.filter(F.array_distinct(F.array("first", "last")), lambda y: near(y["fp0"], F.col("x.fp0")))
     pairs = met.select(F.col("x.fp").alias("b"), F.explode(others).alias("y")).select(F.col("y.fp").alias("a"), "b").distinct()
-    left, right = nodes.select(F.col("fp").alias("a"), *[F.col(w).alias(f"a{w}") for w in words]), nodes.select(F.col("fp").alias("b"), *[F.col(w).alias(f"b{w}") for w in words])
-    apart = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in words[1:]), F.bit_count(F.col("afp0").bitwiseXOR(F.col("bfp0"))))
-    edges = pairs.join(left, "a").join(right, "b").where(apart <= int(limit * 64 * len(words))).select("a", "b")
+    ties = checkpoint(close(pairs).groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"))
+
+    tied = components(ties)
+    rooted = checkpoint(nodes.join(tied, nodes.fp == tied.node, "left").select("fp", *words, F.coalesce("root", "fp").alias("root")))
+    here = Window.partitionBy("variant")
+    mixed = places(rooted, "fp", "fp0", "root").withColumn("low", F.min("root").over(here)).withColumn("high", F.max("root").over(here)).where("low <> high")
+    left, right = mixed.select("variant", F.col("fp").alias("a"), F.col("fp0").alias("a0"), F.col("root").alias("aroot")), mixed.select("variant", F.col("fp").alias("b"), F.col("fp0").alias("b0"), F.col("root").alias("broot"))
+    rest = left.join(right, "variant").where((F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & near(F.col("a0"), F.col("b0")))
+    edges = ties.unionByName(close(rest.select("a", "b").distinct()).select("a", "b"))
     return named(fps.select(id, "fp"), components(edges), id)

@@ -93,3 +93,34 @@ def test_near_copies_finds_edits(spark):
 def test_radius_must_be_even():
     with pytest.raises(ValueError):
         simhash.links(None, 3)
+
+
+def crowd(n: int = 500, shared: int = 205, seed: int = 4):
+    """Documents of 250 words that share a long passage, and an edited copy of every fourth."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    passage, rows = [word() for _ in range(shared)], []
+    for i in range(n):
+        words = passage + [word() for _ in range(250 - shared)]
+        rows.append((i, " ".join(words)))
+        if i % 4 == 0:
+            words[shared + 5 + i % 30] = word()
+            words[20 + i % 150] = word()
+            rows.append((n + i, " ".join(words)))
+    return rows
+
+
+def test_all_pairs_that_meet_are_compared(spark):
+    """The groups of a crowd equal those over all pairs of fingerprints that meet in some band."""
+    rows = crowd()
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    fps = [simhash.fingerprint(t, words=5).view("<u4") for _, t in rows]
+    ids, all_ = [i for i, _ in rows], np.stack(fps)
+    parent = {i: i for i in ids}
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for k, fp in enumerate(fps):
+        d = np.bitwise_count(all_ ^ fp)
+        for j in np.flatnonzero((d.min(1) <= 2) & (d.sum(1) <= int(simhash.LIMIT * 320)) & (d[:, :2].sum(1) <= np.ceil(64 * simhash.LIMIT) + simhash.SLACK)):
+            x, y = sorted((find(ids[k]), find(ids[j])))
+            parent[y] = x
+    assert got == {i: find(i) for i in ids}
