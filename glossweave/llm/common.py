@@ -153,7 +153,7 @@ def map_texts(docs: DataFrame, text: str, keep: tuple[str, ...], fields: list[T.
     names = [*kept, *([text] if text in keep else []), *[f.name for f in fields]]
     types = [f.dataType for f in fields]
     schema = T.StructType([*src.schema.fields[:-1], *([T.StructField(text, T.StringType())] if text in keep else []), *fields])
-    arrow = [{T.LongType: pa.int64(), T.DoubleType: pa.float64(), T.StringType: pa.string(), T.BinaryType: pa.binary()}[type(t)] for t in types]
+    arrow = [{T.LongType: pa.int64(), T.DoubleType: pa.float64(), T.StringType: pa.string(), T.BinaryType: pa.binary(), T.ArrayType: pa.list_(pa.int64())}[type(t)] for t in types]
 
     def run(batches):
         for b in batches:

@@ -27,8 +27,11 @@ from .common import checkpoint, components, map_texts
 from .parsing import mix64
 
 SEED = 42  # fixed by the contract
-#: Share of differing bits over 3-word shingles: texts alike by 0.8 or more on 5-word shingles stay below.
-LIMIT = 0.165
+#: Share of differing bits over 3-word shingles up to which a pair is a candidate: texts alike by 0.8 or more on 5-word shingles
+#: differ in 12% (scattered edits) to 15% (one block) on average, with a deviation of 2% for 320 bits.
+LIMIT = 0.22
+#: Least Jaccard similarity of 5-word shingles of copies, and those shingles' words.
+LEAST, SHINGLE = 0.8, 5
 #: Bits by which the first 64 may differ more than that share before a pair is fetched for the full comparison.
 SLACK = 5
 
@@ -64,6 +67,25 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, keep: tupl
     return map_texts(docs, text, keep, fields, lambda texts: np.stack([fingerprint(t, width, words) for t in texts], axis=1))
 
 
+def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a whole text's shingles; a shorter text is one shingle."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    parts = map(b" ".join, zip(*(tokens[i:] for i in range(width)))) if len(tokens) > width else [b" ".join(tokens)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in parts), np.uint64)).view("<i8")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """The ``pairs`` (a, b) whose whole texts have that Jaccard similarity of shingles. ``texts``: fp, text, of which equal ``fp`` have equal text."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    fields = [T.StructField("shingles", T.ArrayType(T.LongType()))]
+    once = texts.dropDuplicates(["fp"]).join(needed, "fp", "left_semi")
+    sets = checkpoint(map_texts(once, "text", ("fp",), fields, lambda texts: [[shingles(t) for t in texts]]))
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    x, y = F.size("x"), F.size("y")
+    both = both.where(F.least(x, y) >= F.lit(least) * F.greatest(x, y)).withColumn("common", F.size(F.array_intersect("x", "y")))
+    return both.where(F.col("common") >= F.lit(least) * (x + y - F.col("common"))).select("a", "b")
+
+
 def masks(half: int) -> list[int]:
     """Signed 64-bit masks of at most ``half`` bits; the first is 0."""
     out = [sum(1 << i for i in c) for n in range(half + 1) for c in combinations(range(64), n)]
@@ -103,13 +125,17 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     """One row per document: ``id``, ``fp`` and ``component_id``, for copies with a few edits.
 
     A fingerprint of ``bands`` (an even number) bands of 32 bits is made. Every band emits its ball of half
-    radius 1, so fingerprints that differ in at most 2 bits of some band meet; a pair that meets is
-    linked if it differs in at most that share ``limit`` of all bits. First each fingerprint is tied to the nearest of
+    radius 1, so fingerprints that differ in at most 2 bits of some band meet; a pair that meets is a
+    candidate if it differs in at most that share ``limit`` of all bits, and is linked if the five-word shingles of
+    the whole texts have a Jaccard similarity of ``LEAST``. Equal texts are one node, named ``fp``. First each fingerprint is tied to the nearest of
     those that are first or just before it in a meeting place, which joins most of a large group in rows in proportion to
     its size; then all pairs that meet and are still in different components are compared.
     """
     words = [f"fp{k}" for k in range(bands // 2)]
-    fps = checkpoint(fingerprints(docs, text, width, (id,), len(words)).withColumn("fp", F.xxhash64(*words)))
+    texts = docs.select(F.col(id), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = texts.withColumn("fp", F.xxhash64("text"))
+    fps = checkpoint(fingerprints(texts, "text", width, (id, "fp"), len(words)))
+    texts = texts.select("fp", "text")
     nodes = fps.select("fp", *words).dropDuplicates(["fp"])
     band = lambda k: F.shiftrightunsigned(F.col(words[k // 2]), 32 * (k % 2)).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(k << 32))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
@@ -129,7 +155,8 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     met = met.withColumn("first", F.first("x").over(place)).withColumn("last", F.lag("x").over(place)).where("last is not null")
     others = F.filter(F.array_distinct(F.array("first", "last")), lambda y: near(y["fp0"], F.col("x.fp0")))
     pairs = met.select(F.col("x.fp").alias("b"), F.explode(others).alias("y")).select(F.col("y.fp").alias("a"), "b").distinct()
-    ties = checkpoint(close(pairs).groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"))
+    nearest = checkpoint(close(pairs).groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"))
+    ties = checkpoint(similar(nearest, texts))
 
     tied = components(ties)
     rooted = checkpoint(nodes.join(tied, nodes.fp == tied.node, "left").select("fp", *words, F.coalesce("root", "fp").alias("root")))
@@ -137,5 +164,6 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     mixed = places(rooted, "fp", "fp0", "root").withColumn("low", F.min("root").over(here)).withColumn("high", F.max("root").over(here)).where("low <> high")
     left, right = mixed.select("variant", F.col("fp").alias("a"), F.col("fp0").alias("a0"), F.col("root").alias("aroot")), mixed.select("variant", F.col("fp").alias("b"), F.col("fp0").alias("b0"), F.col("root").alias("broot"))
     rest = left.join(right, "variant").where((F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & near(F.col("a0"), F.col("b0")))
-    edges = ties.unionByName(close(rest.select("a", "b").distinct()).select("a", "b"))
+    rest = checkpoint(close(rest.select("a", "b").distinct()).select("a", "b"))
+    edges = ties.unionByName(similar(rest, texts))
     return named(fps.select(id, "fp"), components(edges), id)

@@ -104,16 +104,22 @@ def crowd(n: int = 500, shared: int = 205, seed: int = 4):
         words = passage + [word() for _ in range(250 - shared)]
         rows.append((i, " ".join(words)))
         if i % 4 == 0:
-            words[shared + 5 + i % 30] = word()
+            words[shared + 5 + i % 20] = word()
             words[20 + i % 150] = word()
             rows.append((n + i, " ".join(words)))
     return rows
 
 
+def similarity(x: str, y: str) -> float:
+    x, y = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (x.split(), y.split()))
+    return len(x & y) / len(x | y)
+
+
 def test_all_pairs_that_meet_are_compared(spark):
-    """The groups of a crowd equal those over all pairs of fingerprints that meet in some band."""
-    rows = crowd()
+    """The groups of a crowd equal those over all pairs of fingerprints that meet in some band and are alike."""
+    rows = crowd(300, 222)
     got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
     fps = [simhash.fingerprint(t, words=5).view("<u4") for _, t in rows]
     ids, all_ = [i for i, _ in rows], np.stack(fps)
     parent = {i: i for i in ids}
@@ -121,6 +127,15 @@ def test_all_pairs_that_meet_are_compared(spark):
     for k, fp in enumerate(fps):
         d = np.bitwise_count(all_ ^ fp)
         for j in np.flatnonzero((d.min(1) <= 2) & (d.sum(1) <= int(simhash.LIMIT * 320)) & (d[:, :2].sum(1) <= np.ceil(64 * simhash.LIMIT) + simhash.SLACK)):
-            x, y = sorted((find(ids[k]), find(ids[j])))
-            parent[y] = x
+            if j > k and similarity(text[ids[k]], text[ids[j]]) >= 0.8:
+                x, y = sorted((find(ids[k]), find(ids[j])))
+                parent[y] = x
     assert got == {i: find(i) for i in ids}
+
+
+def test_only_similar_texts_are_linked(spark):
+    """A crowd of mutual similarity 0.68 stays apart, and each edited copy is with its original alone."""
+    rows = crowd(300, 205)
+    assert 0.6 < similarity(rows[0][1], rows[2][1]) < 0.75 and similarity(rows[0][1], rows[1][1]) >= 0.8
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(c == i % 300 for i, c in got.items())
