@@ -1,8 +1,9 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
 Each source is a stream of its documents in hashed order, cut into blocks of equal word count.
+A source's blocks have its words over their number, so that none is short, and its slots are its target over that length.
 Slot k of the mix takes the golden-ratio point frac((k + 1) * phi) through the cumulative
-target shares to choose a source; the slot's rank among the slots of that source, through a
+target shares of slots to choose a source (slots beyond a source's number stay empty, and missing ones follow at the end); the slot's rank among the slots of that source, through a
 fixed permutation, names the block that it takes. Any prefix of the schedule is mixed to the
 target weights within a few blocks.
 
@@ -28,6 +29,8 @@ MAX_SOURCES = 1_000_000
 #: 2^64 / golden ratio, odd: the step of the Kronecker sequence in 64-bit fixed point.
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1 << 16
+#: A source has at least this many blocks (a block a word, if it has fewer words), so that whole blocks come near any target.
+LEAST_BLOCKS = 64
 
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, cap: float = 2.0) -> list[float]:
@@ -93,34 +96,40 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], share, cap)
     total, base = sum(goal), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[:-1]
     b = block_words(total, block)
-    blocks = [-(-s // b) for s in sizes]
-    plan = spark.sparkContext.broadcast({n: (i, int(base[i]), sizes[i], goal[i]) for i, n in enumerate(names)})
+    blocks = [min(s, max(-(-s // b), LEAST_BLOCKS)) for s in sizes]
+    slot_goal = [g * n / s if s else 0.0 for g, n, s in zip(goal, blocks, sizes)]
+    plan = spark.sparkContext.broadcast({n: (i, int(base[i]), sizes[i], goal[i], *divmod(sizes[i], max(blocks[i], 1))) for i, n in enumerate(names)})
 
     def place(batches):
         for p in batches:
             found = [plan.value[None if s is None or s != s else s] for s in p.source]
             p["six"], p["source_size"], p["target"] = [f[0] for f in found], [f[2] for f in found], [float(f[3]) for f in found]
             p["at"] = p["_start"] - np.array([f[1] for f in found], np.int64) if len(p) else p["_start"]
-            yield p[["_pos", "id", "source", "size", "source_size", "target", "six", "at"]].rename(columns={"_pos": "row"})
+            p["short"], p["longer"] = [f[4] for f in found], [f[5] for f in found]
+            yield p[["_pos", "id", "source", "size", "source_size", "target", "six", "at", "short", "longer"]].rename(columns={"_pos": "row"})
 
-    documents = df.mapInPandas(place, f"row long, id {df.schema['id'].dataType.simpleString()}, source string, size long, source_size long, target double, six int, at long")
+    documents = df.mapInPandas(place, f"row long, id {df.schema['id'].dataType.simpleString()}, source string, size long, source_size long, target double, six int, at long, short long, longer long")
+    # the first ``longer`` blocks of a source have one word more than the others' ``short``
+    at_block = lambda w: F.expr(f"CASE WHEN {w} < longer * (short + 1) THEN {w} div (short + 1) ELSE longer + ({w} - longer * (short + 1)) div short END")
+    starts = lambda k: k * F.col("short") + F.least(k, F.col("longer"))
     pieces = (
         documents.where("size > 0")
-        .select("row", "six", "at", "size", F.explode(F.sequence(F.expr(f"at div {b}L"), F.expr(f"(at + size - 1) div {b}L"))).alias("block"))
-        .select("row", "six", "block", "at", F.greatest(F.col("at"), F.col("block") * b).alias("lo"), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * b).alias("hi"))
+        .select("row", "six", "at", "size", "short", "longer", F.explode(F.sequence(at_block("at"), at_block("(at + size - 1)"))).alias("block"))
+        .select("row", "six", "block", "at", F.greatest(F.col("at"), starts(F.col("block"))).alias("lo"), F.least(F.col("at") + F.col("size"), starts(F.col("block") + 1)).alias("hi"))
         .select("row", "six", "block", (F.col("lo") - F.col("at")).alias("offset"), (F.col("hi") - F.col("lo")).alias("words"))
     )
-    schedule = slots(spark, goal, blocks, b, cap).hint("merge").join(pieces, ["six", "block"]).select("slot", "row", "offset", "words")
-    return documents.drop("six", "at"), schedule
+    schedule = slots(spark, slot_goal, blocks, cap).hint("merge").join(pieces, ["six", "block"]).select("slot", "row", "offset", "words")
+    return documents.drop("six", "at", "short", "longer"), schedule
 
 
-def slots(spark, goal: list[float], blocks: list[int], b: int, cap: float) -> DataFrame:
+def slots(spark, goal: list[float], blocks: list[int], cap: float) -> DataFrame:
     """The schedule's slots: slot, six (the source's place), block. Two passes over chunks of slots:
-    the first counts each chunk's slots by source, the second ranks them from the sums before it."""
-    total = sum(goal)
-    count = math.ceil(total / b) if total else 0
+    the first counts each chunk's slots by source, the second ranks them from the sums before it.
+    ``goal``: slots of each source, which it gets exactly, rounded, and never above ``cap`` times its blocks."""
+    count = math.ceil(sum(goal))
+    quota = np.minimum(np.floor(np.array(goal) + 0.5), np.floor(cap * np.array(blocks))).astype(np.int64)
     chunks = -(-count // CHUNK)
-    shared = spark.sparkContext.broadcast((thresholds(goal), np.array(blocks, np.int64), np.array([step_for(n) if n else 1 for n in blocks], np.int64)))
+    shared = spark.sparkContext.broadcast((thresholds(goal), np.array(blocks, np.int64), np.array([step_for(n) if n else 1 for n in blocks], np.int64), quota))
 
     def drawn(chunk: int) -> tuple[np.ndarray, np.ndarray]:
         k = np.arange(chunk * CHUNK, min(count, (chunk + 1) * CHUNK), dtype=np.int64)
@@ -138,7 +147,7 @@ def slots(spark, goal: list[float], blocks: list[int], b: int, cap: float) -> Da
         for p in batches:
             for c, before in zip(p.chunk, p.before):
                 k, six = drawn(int(c))
-                _, n_blocks, steps = shared.value
+                _, n_blocks, steps, most = shared.value
                 start = np.zeros(len(n_blocks), np.int64)
                 for x in before:
                     start[x["six"]] = x["n"]
@@ -148,15 +157,30 @@ def slots(spark, goal: list[float], blocks: list[int], b: int, cap: float) -> Da
                 within = np.arange(len(s)) - np.repeat(first, np.diff(np.r_[first, len(s)]))
                 rank = np.empty(len(s), np.int64)
                 rank[order] = start[s] + within
-                ok = rank < np.floor(cap * n_blocks[six]).astype(np.int64)  # never beyond the cap
+                ok = rank < most[six]
                 k, six, rank = k[ok], six[ok], rank[ok]
                 n = n_blocks[six]
                 yield pd.DataFrame({"slot": k, "six": six.astype("int32"), "block": permuted(rank % n, steps[six], rank // n, n)})
 
+    def added(batches):
+        _, n_blocks, steps, _ = shared.value
+        for p in batches:
+            six, rank = p.six.to_numpy(), p["rank"].to_numpy()
+            n = n_blocks[six]
+            yield pd.DataFrame({"slot": p.slot, "six": six, "block": permuted(rank % n, steps[six], rank // n, n)})
+
     per = spark.range(0, chunks, 1, max(1, min(chunks, 10_000))).mapInPandas(counted, "chunk long, six int, n long")
+    had = np.zeros(len(goal), np.int64)
+    for r in per.groupBy("six").agg(F.sum("n").alias("n")).collect():  # one row a source
+        had[r["six"]] = r["n"]
+    lack = np.maximum(quota - had, 0)
+    extra = pd.DataFrame({"slot": count + np.arange(lack.sum()), "six": np.repeat(np.arange(len(goal)), lack).astype("int32"), "rank": np.repeat(had - np.cumsum(lack) + lack, lack) + np.arange(lack.sum())})
     upto = Window.partitionBy("six").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = per.withColumn("n", F.coalesce(F.sum("n").over(upto), F.lit(0))).groupBy("chunk").agg(F.collect_list(F.struct("six", "n")).alias("before"))
-    return before.mapInPandas(ranked, "slot long, six int, block long")
+    drawn_slots = before.mapInPandas(ranked, "slot long, six int, block long")
+    if not len(extra):
+        return drawn_slots
+    return drawn_slots.unionByName(spark.createDataFrame(extra, "slot long, six int, rank long").mapInPandas(added, "slot long, six int, block long"))
 
 
 def taken(documents: DataFrame, schedule: DataFrame) -> DataFrame:

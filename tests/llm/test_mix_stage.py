@@ -30,3 +30,17 @@ def test_ratio_under_a_half(spark):
     got = {r.id: r.copies for r in p.whole_copies(spark.createDataFrame(plan, "row long, id long, source string, size long, taken long")).collect()}
     kept, want = sum(s * got[i] for i, _, _, s, _ in plan), sum(t for *_, t in plan)
     assert len(got) == 800 and set(got.values()) == {0, 1} and abs(kept - want) < 0.02 * want
+
+
+def test_small_sources_meet_targets(spark):
+    """A tail of one-document sources, with blocks as long as those of a large table."""
+    words = [300, 1000, 2500, 5000, 7, 1, 64, 2049]
+    rows = [(i, "w " * n, f"t{i}") for i, n in enumerate(words)] + [(100 + i, "w " * 4000, "big") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    documents, schedule = mixing.mix(docs, block=2048)
+    taken, size = Counter(), {}
+    for r in mixing.taken(documents, schedule).collect():
+        taken[r.source] += r.taken
+        size[r.source] = (r.source_size, r.target)
+        assert r.taken <= 2 * r["size"]
+    assert all(abs(taken[s] - t) <= n / 100 + 1 for s, (n, t) in size.items()), (taken, size)
