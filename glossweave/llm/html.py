@@ -45,10 +45,14 @@ ENDS_P = BLOCK - {"option", "button", "legend"}
 #: A new element of the key's kind closes an open one of these, up to the given scope.
 SIBLING = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
+#: The rest of a tag up to its end; possessive, so that a failed match is not tried again in another way.
+_ATTRS = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{'|'.join(RAW.split())})\b(?:[^>\"']|\"[^\"]{{0,2000}}\"|'[^']{{0,2000}}')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]{0,2000}\"|'[^']{0,2000}')*)>"
+    rf"|<svg(?=[\s/>]){_ATTRS}(?:(?<=/)>|>.*?(?:</svg\s*>|\Z))"
+    # a self-closed one of these is raw text up to its end tag as in browsers, but does not take the page's rest
+    rf"|<(?P<raw>{'|'.join(RAW.replace('svg ', '').split())})(?=[\s/>]){_ATTRS}>(?:.*?</(?P=raw)\s*>|(?<=/>)|.*\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>{_ATTRS})>"
     r"|<[!?/][^>]*>?",
     re.I | re.S,
 )
@@ -175,9 +179,9 @@ def features(b: Block, place: float) -> list[int]:
         f"tags={min(b.tags, 5)}",
         f"place={int(place * 5)}",
         f"upper={text[0].isupper()}",
-        f"digits={min(4, 10 * len(_DIGIT.findall(text, 0, 400)) // min(n, 400))}",
+        f"digits={min(4, 10 * len(_DIGIT.findall(text)) // n)}",
     ]
-    low = text[:200].lower()
+    low = text.lower()
     names += [f"sign={s}" for s in ("©", "all rights", "cookie", "subscribe", "newsletter", "advert", "sponsored", "login", "log in", "sign", "reply", "comment", "share", "menu", "search", "copyright", "privacy", "|", "»", "→", "·") if s in low]
     leaf = b.path[-1][0] if b.path else ""
     names.append(f"leaf={leaf},words={min(int(math.log2(words)), 6)}")
