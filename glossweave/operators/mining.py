@@ -17,7 +17,7 @@ HEAD_SUPPORT, MODIFIER_HEADS = 3, 2
 RUN = X.KATAKANA.replace("[", "[ー") + "+"
 
 
-def pair_words(corpus: DataFrame, longest: int = 400, max_words: int = 40, max_runs: int = 20) -> DataFrame:
+def pair_words(corpus: DataFrame, longest: int = 20_000, max_words: int = 3_000, max_runs: int = 1_000) -> DataFrame:
     """row_id, ws (distinct lower-case words), rs (distinct katakana runs of two or more) of usable rows."""
     ws = F.array_distinct(F.transform(F.regexp_extract_all(X.blank(F.col("english")), F.lit("[A-Za-z']+"), 0), F.lower))
     rs = F.array_distinct(F.filter(F.regexp_extract_all(X.blank(F.col("japanese")), F.lit(RUN), 0), lambda r: F.char_length(r) >= 2))
@@ -94,10 +94,10 @@ def compose(records: DataFrame, text: str, head_lexicon: DataFrame, modifier_lex
     return df.withColumn("meaning", found).drop("_s", "_h", "_m", "_hr", "_mr", "_mt", "_tr", "_tt")
 
 
-def induce(corpus: DataFrame, seeds: DataFrame, rounds: int = 8) -> DataFrame:
+def induce(corpus: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataFrame:
     """Word-to-katakana dictionary by fixed point. An entry whose Japanese has as many ・ segments as the English has
     words gives its one unknown word the segment left over; the least row decides between proposals of a round; rounds go on
-    until nothing is added. All proposals of a round see the same dictionary, so they do not depend on row order within it.
+    until nothing is added; ``rounds`` without an end are an error. All proposals of a round see the same dictionary, so they do not depend on row order within it.
 
     corpus: row_id, english, japanese; seeds: word, kana. The dictionary is checkpointed each round.
     """
@@ -115,9 +115,9 @@ def induce(corpus: DataFrame, seeds: DataFrame, rounds: int = 8) -> DataFrame:
         new = ready.groupBy("word").agg(F.min_by("kana", "row_id").alias("kana"))
         known = checkpoint(known.unionByName(new))
         if (m := known.count()) == n:
-            break
+            return known
         n = m
-    return known
+    raise RuntimeError(f"the dictionary still grew after {rounds} rounds")
 
 
 def prune_lower_case(dictionary: DataFrame, corpus: DataFrame) -> DataFrame:

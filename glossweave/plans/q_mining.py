@@ -204,9 +204,9 @@ def m04(spark, d):
 
 @query("m01_dictionary_induction")
 def m01(spark, d):
-    c = bilingual(spark, d)
-    seeds = c.select(F.split_part("english", F.lit(" "), F.lit(2)).alias("word"), F.split_part("japanese", F.lit("・"), F.lit(2)).alias("kana")).where("word = 'ring'").distinct()
-    return mining.prune_lower_case(mining.induce(c, seeds), c.where("row_id < 0"))
+    c = bilingual(spark, d).withColumn("english", F.initcap("english"))  # names, not running text in lower case
+    seeds = c.select(F.lower(F.split_part("english", F.lit(" "), F.lit(2))).alias("word"), F.split_part("japanese", F.lit("・"), F.lit(2)).alias("kana")).where("word = 'ring'").distinct()
+    return mining.prune_lower_case(mining.induce(c, seeds), c)
 
 
 @query("m05_m06_decomposition")
