@@ -129,8 +129,8 @@ def w13(spark, d):
     return phrases.key_phrases(key_scores(spark, d), "grp").select("grp", "gram", F.round("score", 6).alias("score"))
 
 
-def bilingual(spark, d):
-    p = table(spark, d, "part").where("p_partkey % 3 <> 0")
+def bilingual(spark, d, where: str = "p_partkey % 3 <> 0"):
+    p = table(spark, d, "part").where(where)
     return p.select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("english"), X.to_kana(F.col("p_name")).alias("japanese"), (F.col("p_size") % 3).alias("tier"))
 
 
@@ -141,9 +141,9 @@ PAIRS = f"""c AS (SELECT p_partkey AS id, list_distinct(string_split(p_name, ' '
  dc AS (SELECT word, run, together, word_n, run_n, 2.0::DOUBLE * together / (word_n + run_n) AS dice FROM tg JOIN wn USING (word) JOIN rn USING (run))"""
 
 
-def split_bilingual(spark, d):
+def split_bilingual(spark, d, *where: str):
     """Words separated by spaces on both sides, so that a run is a word's kana."""
-    return bilingual(spark, d).withColumn("japanese", F.replace("japanese", F.lit("・"), F.lit(" ")))
+    return bilingual(spark, d, *where).withColumn("japanese", F.replace("japanese", F.lit("・"), F.lit(" ")))
 
 
 @query("a10_co_occurrence", f"WITH {PAIRS} SELECT word, run, together, word_n, run_n, round(dice, 6) AS dice FROM dc")
@@ -167,7 +167,7 @@ def j18(spark, d):
 
 @query("f19_m02_sentence_alignment")
 def m02(spark, d):
-    return mining.align(split_bilingual(spark, d))
+    return mining.align(split_bilingual(spark, d, "true"))
 
 
 def compound(spark, d):
@@ -204,7 +204,7 @@ def m04(spark, d):
 
 @query("m01_dictionary_induction")
 def m01(spark, d):
-    c = bilingual(spark, d).withColumn("english", F.initcap("english"))  # names, not running text in lower case
+    c = bilingual(spark, d, "true").withColumn("english", F.initcap("english"))  # names, not running text in lower case
     seeds = c.select(F.lower(F.split_part("english", F.lit(" "), F.lit(2))).alias("word"), F.split_part("japanese", F.lit("・"), F.lit(2)).alias("kana")).where("word = 'ring'").distinct()
     return mining.prune_lower_case(mining.induce(c, seeds), c)
 

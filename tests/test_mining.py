@@ -3,6 +3,7 @@
 import pytest
 
 from glossweave.operators import mining
+from glossweave.plans import q_mining
 
 
 def test_long_entries_are_mined(spark):
@@ -21,3 +22,10 @@ def test_chain_is_followed_to_its_end(spark):
     assert got == {f"w{chr(97 + k)}": f"{kana[k]}ー" for k in range(12)}
     with pytest.raises(RuntimeError):
         mining.induce(entries, seeds, rounds=3)
+
+
+def test_queries_without_sql_mine_the_whole_table(spark, tmp_path):
+    """Rows whose keys are all divisible by three give words as well."""
+    rows = [(3 * k, f"{name} ring", 1) for k, name in enumerate(("red", "blue", "gold") * 4, 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert {r.word for r in q_mining.m01(spark, str(tmp_path)).collect()} == {"ring", "red", "blue", "gold"}
