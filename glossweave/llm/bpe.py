@@ -5,7 +5,7 @@ token encodes to itself and every adjacent pair is compatible, that is, if mergi
 never join symbols across the pair's boundary. Pairs of all new words are tested together: a
 vectorised walk goes back in time along the right edge of the left token and the left edge of the
 right token and looks each meeting pair up among the merges. Only words with a failing pair are
-merged exactly. Results of distinct words are kept in a bounded cache per task.
+merged exactly. Results of distinct words are kept in a bounded cache per worker.
 
 Defined results: a null text counts as empty and gives no tokens; strings of the vocabulary's added
 tokens inside a text become those tokens; very long words are handled whole; equal rows are encoded
@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import grouped, unused
+from .common import map_texts, small_batches
 
-#: Distinct words whose encoding a task keeps at once; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
-#: Texts are taken from a batch in groups of about so many characters.
-GROUP_CHARS = 1 << 20
+#: Distinct words whose encoding a worker keeps at once; beyond it the cache starts anew.
+CACHE_WORDS = 200_000
 _NEVER = np.int64(1) << np.int64(60)
 
 
@@ -55,6 +54,22 @@ class Vocabulary:
         self.merges = np.array([(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in pairs], np.int64).reshape(-1, 3)
         self.pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.added.items()]}
+        self._encoder: Encoder | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_encoder": None}
+
+    @property
+    def encoder(self) -> Encoder:
+        """The encoder of this vocabulary, made once in a process; a worker keeps it for all its tasks."""
+        if self._encoder is None:
+            self._encoder = Encoder(self)
+        return self._encoder
+
+    def decode(self, ids: bytes | None) -> str:
+        """The tokens of ids joined by single spaces, as a vocabulary without a decoder reads."""
+        tokens = self.tokens
+        return " ".join([tokens[i] for i in np.frombuffer(ids or b"", "<u4").tolist()])
 
 
 class Encoder:
@@ -198,34 +213,31 @@ class Encoder:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
     """Replace column ``text`` by ``out``: the ids as binary, 4 little-endian bytes each."""
-    keep = [c for c in docs.columns if c not in (text, out)]
-    src = docs.select(*keep, F.col(text).alias(unused(docs.columns, "_text")))
+    keep = tuple(c for c in docs.columns if c not in (text, out))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a vocabulary file, of fixed size
+    return map_texts(docs, text, keep, [T.StructField(out, T.BinaryType())], lambda texts: [shared.value.encoder.encode(texts)])
+
 
-    def run(batches):
-        coder = Encoder(shared.value)
+def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "text") -> DataFrame:
+    """Add ``out``: the texts that ``ids`` decode to."""
+    small_batches(encoded.sparkSession)
+    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            texts = b.column(len(keep)).to_pylist()
-            for lo, hi in grouped(texts, GROUP_CHARS):
-                part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(coder.encode(texts[lo:hi]), pa.binary())], names=[*keep, out])
+            yield pa.array([shared.value.decode(x) for x in b.to_pylist()], pa.string())
 
-    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField(out, T.BinaryType())]))
+    return encoded.withColumn(out, F.arrow_udf(run, T.StringType())(F.col(ids)))
 
 
-def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "text") -> DataFrame:
-    """Add ``out``: the tokens of ``ids`` joined by single spaces, as a vocabulary without a decoder reads."""
-    keep = [c for c in encoded.columns if c not in (ids, out)]
-    src = encoded.select(*keep, F.col(ids).alias(ids))
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary.tokens)
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Replace column ``text`` by ``ids`` and ``out``: encoded, and decoded from those ids, in one pass."""
+    keep = tuple(c for c in docs.columns if c not in (text, ids, out))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(batches):
-        tokens = shared.value
-        for b in batches:
-            rows = b.column(len(keep)).to_pylist()
-            for lo, hi in grouped(rows, GROUP_CHARS):
-                part = b.slice(lo, hi - lo)
-                texts = [" ".join([tokens[i] for i in np.frombuffer(r or b"", "<u4").tolist()]) for r in rows[lo:hi]]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*keep, ids, out])
+    def both(texts: list) -> list:
+        coder = shared.value
+        found = coder.encoder.encode(texts)
+        return [found, [coder.decode(x) for x in found]]
 
-    return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(out, T.StringType())]))
+    return map_texts(docs, text, keep, [T.StructField(ids, T.BinaryType()), T.StructField(out, T.StringType())], both)

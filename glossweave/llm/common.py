@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Give back what finished driver-side work holds: samples in Python, results and plans in the JVM."""
     gc.collect()
@@ -142,25 +149,33 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+#: Arrow batches that go to Python are held under this size, so that a worker's memory does not depend on the lengths of texts.
+BATCH_BYTES = 4 << 20
+_ARROW = {T.LongType: pa.int64(), T.DoubleType: pa.float64(), T.StringType: pa.string(), T.BinaryType: pa.binary(), T.ArrayType: pa.list_(pa.int64())}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches under ``BATCH_BYTES``, unless it asks for less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def map_texts(docs: DataFrame, text: str, keep: tuple[str, ...], fields: list[T.StructField], fn) -> DataFrame:
     """Columns ``keep`` and new ``fields``, made from column ``text`` by ``fn(texts)``.
 
-    ``fn`` gets a list of texts of bounded total size and returns one list of values a field.
-    The text is passed once, whether it is kept or not.
+    ``fn`` gets a list of texts of bounded total size and returns one list of values a field. Only the text goes to
+    Python and only the new values come back; kept columns stay in the JVM.
     """
-    kept = [c for c in keep if c != text]
-    src = docs.select(*kept, F.col(text).alias(unused(docs.columns, "_text")))
-    names = [*kept, *([text] if text in keep else []), *[f.name for f in fields]]
-    types = [f.dataType for f in fields]
-    schema = T.StructType([*src.schema.fields[:-1], *([T.StructField(text, T.StringType())] if text in keep else []), *fields])
-    arrow = [{T.LongType: pa.int64(), T.DoubleType: pa.float64(), T.StringType: pa.string(), T.BinaryType: pa.binary(), T.ArrayType: pa.list_(pa.int64())}[type(t)] for t in types]
+    small_batches(docs.sparkSession)
+    names, types = [f.name for f in fields], [_ARROW[type(f.dataType)] for f in fields]
 
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            texts = b.column(len(kept)).to_pylist()
-            for lo, hi in grouped(texts):
-                part = b.slice(lo, hi - lo)
-                made = [pa.array(v, t) for v, t in zip(fn(texts[lo:hi]), arrow)]
-                yield pa.RecordBatch.from_arrays([*(part.columns if text in keep else part.columns[:-1]), *made], names=names)
+            texts = b.to_pylist()
+            parts = [fn(texts[lo:hi]) for lo, hi in grouped(texts)] or [[[] for _ in fields]]
+            yield pa.StructArray.from_arrays([pa.concat_arrays([pa.array(p[k], t) for p in parts]) for k, t in enumerate(types)], names=names)
 
-    return src.mapInArrow(run, schema)
+    made = unused(docs.columns, "_made")
+    out = docs.withColumn(made, F.arrow_udf(run, T.StructType(fields))(F.col(text).cast("string")))
+    return out.select(*keep, *[F.col(made)[n].alias(n) for n in names])

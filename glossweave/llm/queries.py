@@ -79,8 +79,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
     vocabulary = bpe.Vocabulary(path("word_bpe_49k.json"))
-    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary), vocabulary)
-    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    out = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_sharding, op4_mixing, op5_html, op6_langid, op7_topk, op8_fingerprints, op9_toxicity, op10_bpe)}

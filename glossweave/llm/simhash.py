@@ -13,7 +13,6 @@ has no other; an empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
@@ -23,17 +22,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import checkpoint, components, map_texts
+from .common import bounded, checkpoint, components, map_texts
 from .parsing import mix64
 
 SEED = 42  # fixed by the contract
-#: Share of differing bits over 3-word shingles up to which a pair is a candidate: texts alike by 0.8 or more on 5-word shingles
-#: differ in 12% (scattered edits) to 15% (one block) on average, with a deviation of 2% for 320 bits.
+#: Share of differing bits over 2-word shingles up to which a pair is a candidate: texts alike by 0.8 or more on 5-word shingles
+#: differ in 15% of the bits if one block was replaced and in 9% if edits are scattered, with a deviation of 1.6% for 512 bits.
 LIMIT = 0.22
 #: Least Jaccard similarity of 5-word shingles of copies, and those shingles' words.
 LEAST, SHINGLE = 0.8, 5
-#: Bits by which the first 64 may differ more than that share before a pair is fetched for the full comparison.
-SLACK = 5
+#: Bands of 32 bits, and the words of the shingles that they are made from.
+BANDS, WIDTH = 16, 2
 
 
 #: Odd steps that make further hashes of a shingle out of its first one.
@@ -52,8 +51,9 @@ def fingerprint(text: str | None, width: int = 3, words: int = 1) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
     ones = np.zeros(64 * words, np.int64)
-    for at in range(0, len(h), 1 << 15):  # bounded memory for any length
-        part = h[at : at + (1 << 15)]
+    step = (1 << 15) // words  # bounded memory for any length
+    for at in range(0, len(h), step):
+        part = h[at : at + step]
         block = np.stack([part if k == 0 else mix64(part + np.uint64(_STEP * k & (1 << 64) - 1)) for k in range(words)], axis=1)
         bits = np.unpackbits(block.astype("<u8").view(np.uint8), axis=1, bitorder="little").astype(np.float32)
         ones += (np.ones(len(bits), np.float32) @ bits).astype(np.int64)  # exact: under 2^24 a block
@@ -76,9 +76,9 @@ def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
 
 def similar(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
     """The ``pairs`` (a, b) whose whole texts have that Jaccard similarity of shingles. ``texts``: fp, text, of which equal ``fp`` have equal text."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    needed = bounded(checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()))
     fields = [T.StructField("shingles", T.ArrayType(T.LongType()))]
-    once = texts.dropDuplicates(["fp"]).join(needed, "fp", "left_semi")
+    once = texts.join(needed, "fp", "left_semi").dropDuplicates(["fp"])
     sets = checkpoint(map_texts(once, "text", ("fp",), fields, lambda texts: [[shingles(t) for t in texts]]))
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
     x, y = F.size("x"), F.size("y")
@@ -121,15 +121,19 @@ def named(fps: DataFrame, roots: DataFrame, id: str) -> DataFrame:
     return fps.join(rooted.join(names, "root").select("fp", "component_id"), "fp").select(id, "fp", "component_id")
 
 
-def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, bands: int = 10, limit: float = LIMIT) -> DataFrame:
+def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, bands: int = BANDS, limit: float = LIMIT) -> DataFrame:
     """One row per document: ``id``, ``fp`` and ``component_id``, for copies with a few edits.
 
     A fingerprint of ``bands`` (an even number) bands of 32 bits is made. Every band emits its ball of half
     radius 1, so fingerprints that differ in at most 2 bits of some band meet; a pair that meets is a
     candidate if it differs in at most that share ``limit`` of all bits, and is linked if the five-word shingles of
-    the whole texts have a Jaccard similarity of ``LEAST``. Equal texts are one node, named ``fp``. First each fingerprint is tied to the nearest of
-    those that are first or just before it in a meeting place, which joins most of a large group in rows in proportion to
-    its size; then all pairs that meet and are still in different components are compared.
+    the whole texts have a Jaccard similarity of ``LEAST``. Equal texts are one node, named ``fp`` (a 64-bit hash of the text).
+    First each fingerprint is tied to the nearest of those that are first or just before it in a meeting place, which
+    joins most of a large group in rows in proportion to its size; then all pairs that meet and are still in different
+    components are compared, so every similar pair that meets ends in one component.
+
+    Defined results: null and empty texts are one node; a text under five words is one shingle; rows with equal ids stay
+    separate rows; an empty table gives an empty table; other columns are not read.
     """
     words = [f"fp{k}" for k in range(bands // 2)]
     texts = docs.select(F.col(id), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -139,31 +143,28 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     nodes = fps.select("fp", *words).dropDuplicates(["fp"])
     band = lambda k: F.shiftrightunsigned(F.col(words[k // 2]), 32 * (k % 2)).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(k << 32))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
-    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= math.ceil(64 * limit) + SLACK
-
-    def places(df: DataFrame, *keep: str) -> DataFrame:
-        met = df.select(*keep, F.explode(F.array(*[band(k) for k in range(bands)])).alias("band"))
-        return met.select(*keep, "band", F.explode(flips).alias("flip")).select(*keep, F.col("band").bitwiseXOR(F.col("flip")).alias("variant"))
 
     def close(pairs: DataFrame) -> DataFrame:
         left, right = nodes.select(F.col("fp").alias("a"), *[F.col(w).alias(f"a{w}") for w in words]), nodes.select(F.col("fp").alias("b"), *[F.col(w).alias(f"b{w}") for w in words])
         apart = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in words[1:]), F.bit_count(F.col("afp0").bitwiseXOR(F.col("bfp0"))))
         return pairs.join(left, "a").join(right, "b").withColumn("apart", apart).where(F.col("apart") <= int(limit * 64 * len(words))).select("a", "b", "apart")
 
-    met = places(nodes, "fp", "fp0").select(F.struct("fp", "fp0").alias("x"), "variant")
-    place = Window.partitionBy("variant").orderBy("x")
-    met = met.withColumn("first", F.first("x").over(place)).withColumn("last", F.lag("x").over(place)).where("last is not null")
-    others = F.filter(F.array_distinct(F.array("first", "last")), lambda y: near(y["fp0"], F.col("x.fp0")))
-    pairs = met.select(F.col("x.fp").alias("b"), F.explode(others).alias("y")).select(F.col("y.fp").alias("a"), "b").distinct()
-    nearest = checkpoint(close(pairs).groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"))
+    ball = nodes.select("fp", F.explode(F.array(*[band(k) for k in range(bands)])).alias("band"))
+    ball = ball.select("fp", F.explode(flips).alias("flip"), "band").select("fp", F.col("band").bitwiseXOR(F.col("flip")).alias("variant"))
+    place = Window.partitionBy("variant").orderBy("fp")
+    met = ball.select("variant", "fp", F.first("fp").over(place).alias("first"), F.lag("fp").over(place).alias("last"), F.lead("fp").over(place).alias("next"))
+    met = checkpoint(met.where("last is not null or next is not null").drop("next"))  # few rows but those of copies: most variants have one fingerprint
+    others = F.explode(F.array_distinct(F.array("first", "last")))
+    pairs = met.where("last is not null").select(F.col("fp").alias("b"), others.alias("a")).distinct()
+    nearest = checkpoint(close(pairs.select("a", "b")).groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"))
     ties = checkpoint(similar(nearest, texts))
 
     tied = components(ties)
-    rooted = checkpoint(nodes.join(tied, nodes.fp == tied.node, "left").select("fp", *words, F.coalesce("root", "fp").alias("root")))
     here = Window.partitionBy("variant")
-    mixed = places(rooted, "fp", "fp0", "root").withColumn("low", F.min("root").over(here)).withColumn("high", F.max("root").over(here)).where("low <> high")
-    left, right = mixed.select("variant", F.col("fp").alias("a"), F.col("fp0").alias("a0"), F.col("root").alias("aroot")), mixed.select("variant", F.col("fp").alias("b"), F.col("fp0").alias("b0"), F.col("root").alias("broot"))
-    rest = left.join(right, "variant").where((F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & near(F.col("a0"), F.col("b0")))
+    rooted = met.join(tied, met.fp == tied.node, "left").select("variant", "fp", F.coalesce("root", "fp").alias("root"))
+    mixed = rooted.withColumn("low", F.min("root").over(here)).withColumn("high", F.max("root").over(here)).where("low <> high")
+    left, right = mixed.select("variant", F.col("fp").alias("a"), F.col("root").alias("aroot")), mixed.select("variant", F.col("fp").alias("b"), F.col("root").alias("broot"))
+    rest = left.join(right, "variant").where((F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")))
     rest = checkpoint(close(rest.select("a", "b").distinct()).select("a", "b"))
     edges = ties.unionByName(similar(rest, texts))
     return named(fps.select(id, "fp"), components(edges), id)

@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,8 @@ STRONG, WEAK, KNOWN = 2.0, 1.0, 4.0
 FEATURES = ("words", "strong_density", "strong_hits", "weak_density", "strongest", "near_second", "capitals", "capital_words", "exclamations", "questions", "punctuation", "obfuscated", "obfuscated_hits", "stretched", "distinct_hits")
 
 _WORD = re.compile(r"[^\W\d_]+")
-_CAPS = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{2,}\b")
-_MASKED = re.compile(r"[^\W_]*[^\W\d_][0-9@$*!|]+[^\W\d_][^\W_]*")
-_STRETCH = re.compile(r"([^\W\d_])\1\1")
-_PUNCT = re.compile(r"[^\w\s]")
+#: Character classes, bits of a table over the code points.
+LETTER, WORDLY, SPACE, RAISED, CAPITAL, MASK = 1, 2, 4, 8, 16, 32
 _PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "*": None})
 
 
@@ -60,62 +59,119 @@ def weigh(pos: float, neg: float, n_pos: float, n_neg: float) -> float:
     return odds(pos, n_pos) - odds(neg, n_neg) - 2 * math.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
 
 
-class Lexicon:
-    """Weights of terms; a word weighs as much as its heaviest term."""
+class Lexicon(dict):
+    """Weights of words: a word weighs as much as its heaviest term. Weights found are kept, in bounded number."""
 
     def __init__(self, weights: dict[str, float]):
-        self.weights, self.cache = weights, {}
+        super().__init__()
+        self.weights = weights
+        self.heads = {t[:3] for t in weights} | {w[:3] for w in INSULTS}
 
-    def __getstate__(self):
-        return self.weights
+    def __reduce__(self):
+        return Lexicon, (self.weights,)
 
-    def __setstate__(self, weights):
-        self.weights, self.cache = weights, {}
-
-    def word(self, w: str) -> float:
-        found = self.cache.get(w)
-        if found is None:
+    def __missing__(self, w: str) -> float:
+        found = 0.0
+        if (w + "$")[:3] in self.heads:  # else no term begins like this word
             get = self.weights.get
             found = max([KNOWN if w in INSULTS else 0.0, get(w + "$", 0.0), *(get(w[:k], 0.0) for k in range(3, min(len(w), 8) + 1))])
-            if len(self.cache) > 300_000:
-                self.cache.clear()
-            self.cache[w] = found
+        if len(self) > 100_000:
+            self.clear()
+        if len(w) < 64:
+            self[w] = found
         return found
 
+    def masked(self, word: str) -> bool:
+        """Whether an obfuscated word, spelled plainly, is a strong one."""
+        plain = word.lower().translate(_PLAIN)
+        return self[plain] >= STRONG or self[plain.replace("i", "l")] >= STRONG
+
+
+@lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    """The class bits of every code point of the basic plane; the last entry stands for those beyond it."""
+    out = np.zeros((1 << 16) + 1, np.uint8)
+    for i in range(1 << 16):
+        c = chr(i)
+        if c.isalpha():
+            out[i] = LETTER | WORDLY | RAISED * (c.lower() != c) | CAPITAL * ("A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×")
+        elif c == "_" or c.isalnum():
+            out[i] = WORDLY
+        elif c.isspace():
+            out[i] = SPACE
+        if c in "0123456789@$*!|":
+            out[i] |= MASK
+    out[-1] = WORDLY
+    return out
+
 
-def features(text: str | None, lexicon: Lexicon) -> list[float]:
-    """The dense features of one whole text, in the order of FEATURES."""
-    text = text or ""
-    low = text.lower()
-    words = _WORD.findall(low)
-    weight = lexicon.word
-    z = [weight(w) for w in words]
-    n, size = max(len(words), 1), max(len(text), 1)
-    strong = [i for i, x in enumerate(z) if x >= STRONG]
-    weak = sum(1 for x in z if WEAK <= x < STRONG)
-    near = sum(1 for i in strong if not SECOND.isdisjoint(words[max(0, i - 5) : i + 6]))
-    masked = _MASKED.findall(text)
-    caught = sum(1 for m in masked if weight(m.lower().translate(_PLAIN)) >= STRONG or weight(m.lower().translate(_PLAIN).replace("i", "l")) >= STRONG)
-    raised = 0
-    if len(low) == len(text):
-        raised = int((np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4") != np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")).sum())
-    return [
-        math.log1p(len(words)),
-        100 * sum(z[i] for i in strong) / n,
-        math.log1p(len(strong)),
-        100 * weak / n,
-        max(z, default=0.0),
-        math.log1p(near),
-        raised / size,
-        len(_CAPS.findall(text)) / n,
-        100 * text.count("!") / n,
-        100 * text.count("?") / n,
-        len(_PUNCT.findall(text)) / size,
-        100 * len(masked) / n,
-        math.log1p(caught),
-        100 * len(_STRETCH.findall(low)) / n,
-        math.log1p(len({words[i] for i in strong})),
-    ]
+def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, each followed by a line feed, and where each text starts."""
+    size = np.array([len(t) + 1 for t in texts], np.int64)
+    return np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), "<u4"), np.append(0, np.cumsum(size)[:-1])
+
+
+def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true flags; the last flag is false."""
+    change = np.flatnonzero(np.diff(flags, prepend=False))
+    return change[::2], change[1::2]
+
+
+def features(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
+    """The dense features of whole texts, a row each, in the order of FEATURES. Work is in proportion to the texts' length."""
+    texts = [t or "" for t in texts]
+    out = np.zeros((len(texts), len(FEATURES)))
+    code, first = codes(texts)
+    kind = classes()[np.minimum(code, 1 << 16)]
+    per = lambda flags: np.add.reduceat(flags, first, dtype=np.int64)
+    count = lambda at: np.bincount(np.searchsorted(first, at, side="right") - 1, minlength=len(texts))
+    size = np.maximum(np.array([len(t) for t in texts]), 1)
+    raised, exclaims, questions = per(kind & RAISED > 0), per(code == 33), per(code == 63)
+    punct = per((kind & (WORDLY | SPACE)) == 0)
+    a, b = runs(kind & WORDLY > 0)
+    capital = np.append(0, np.cumsum(kind & CAPITAL > 0))
+    shouted = count(a[(b - a >= 2) & (capital[b] - capital[a] == b - a)])
+    # obfuscated: a run of letters, digits and masks in which masks stand between two letters
+    letter, mask = kind & LETTER > 0, kind & MASK > 0
+    a, b = runs(mask)
+    inner = a[(a > 0) & letter[a - 1] & letter[b]]
+    a, b = runs(mask | (kind & WORDLY > 0) & (code != 95))
+    hidden = np.unique(np.searchsorted(a, inner, side="right") - 1)
+    masked, caught = count(a[hidden]), np.zeros(len(texts))
+    for k in hidden.tolist():
+        i = int(np.searchsorted(first, a[k], side="right")) - 1
+        caught[i] += lexicon.masked(texts[i][a[k] - first[i] : b[k] - first[i]])
+    low = [t.lower() for t in texts]
+    code, first = codes(low)
+    same = np.append(code[1:] == code[:-1], False) & (classes()[np.minimum(code, 1 << 16)] & LETTER > 0)
+    a, b = runs(same)
+    stretched = np.zeros(len(texts), np.int64)
+    np.add.at(stretched, np.searchsorted(first, a, side="right") - 1, (b - a + 1) // 3)
+    weigh_ = lexicon.__getitem__
+    for i, t in enumerate(low):
+        words = _WORD.findall(t)
+        z = np.fromiter(map(weigh_, words), np.float64, len(words))
+        strong = np.flatnonzero(z >= STRONG).tolist()
+        n = max(len(words), 1)
+        near = sum(1 for k in strong if not SECOND.isdisjoint(words[max(0, k - 5) : k + 6]))
+        out[i] = (
+            math.log1p(len(words)),
+            100 * z[strong].sum() / n,
+            math.log1p(len(strong)),
+            100 * np.count_nonzero((z >= WEAK) & (z < STRONG)) / n,
+            z.max(initial=0.0),
+            math.log1p(near),
+            raised[i] / size[i],
+            shouted[i] / n,
+            100 * exclaims[i] / n,
+            100 * questions[i] / n,
+            punct[i] / size[i],
+            100 * masked[i] / n,
+            math.log1p(caught[i]),
+            100 * stretched[i] / n,
+            math.log1p(len({words[k] for k in strong})),
+        )
+    return out
 
 
 class Trees:
@@ -195,7 +251,7 @@ class Model:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.trees is None:
             return np.full(len(texts), self.constant)
-        m = self.trees.margin(np.array([features(t, self.lexicon) for t in texts]))
+        m = self.trees.margin(features(texts, self.lexicon))
         # a trace of the margin itself keeps the order inside the flat parts of the calibration
         return 0.999 * np.interp(m, *self.knots) + 0.001 / (1 + np.exp(-m))
 
@@ -248,7 +304,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id: str = "doc_id
     def measure(batches):
         for b in batches:
             texts, folds = b.column(1).to_pylist(), b.column(3).to_pylist()
-            x = [np.array(features(t, shared.value[1 - f])).tobytes() for t, f in zip(texts, folds)]
+            x = [features([t], shared.value[1 - f])[0].tobytes() for t, f in zip(texts, folds)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(x, pa.binary())], names=["id", "y", "fold", "x"])
 
     got = sorted(rows.mapInArrow(measure, "id long, y int, fold int, x binary").collect())  # the bounded sample

@@ -1,5 +1,7 @@
 """HTML extraction, language ID, toxicity: trained models against held-out cases."""
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -91,16 +93,33 @@ def test_trees_learn_an_interaction():
 
 def test_features_see_hidden_insults():
     lex = toxicity.Lexicon({})
-    f = dict(zip(toxicity.FEATURES, toxicity.features("YOU are an 1d1ot, an i*diot, YOU moron!!", lex)))
+    f = dict(zip(toxicity.FEATURES, toxicity.features(["YOU are an 1d1ot, an i*diot, YOU moron!!"], lex)[0]))
     assert f["obfuscated_hits"] > 0 and f["strong_hits"] > 0 and f["near_second"] > 0 and f["capital_words"] > 0 and f["exclamations"] > 0
 
 
+def test_features_of_a_batch_equal_those_of_each_text():
+    lex = toxicity.Lexicon({"idio": 2.5, "foo$": 1.2})
+    texts = ["You IDIOT!! an id1ot st*pid aaaa İ? ÀÉ AB_C", "", None, "x" * 9 + " 1@2 a1b2c d@@e_f@g", "\U0001d400 ok", " \n", "foo " * 400]
+    each = np.stack([toxicity.features([t], lex)[0] for t in texts])
+    assert np.allclose(toxicity.features(texts, lex), each)
+    f = dict(zip(toxicity.FEATURES, each[3]))
+    assert f["obfuscated"] == 100 * 3 / 8 and f["stretched"] == 100 * 3 / 8
+
+
+def test_features_take_time_in_proportion():
+    """Words of a million letters, with and without marks between them."""
+    lex = toxicity.Lexicon({})
+    began = time.process_time()
+    toxicity.features(["a" * 1_000_000, "a1" * 500_000, "1" * 1_000_000, "a@" * 500_000 + "b", "a" + "1" * 1_000_000], lex)
+    assert time.process_time() - began < 20
+
+
 def test_toxicity_query(spark):
     labels = {r.doc_id: r.toxic for r in common.table(spark, DATA, "labels").collect()}
     got = op9_toxicity(spark, DATA).collect()
     assert len(got) == common.table(spark, DATA, "documents").count()
     assert all(r.held_out == (crc(r.doc_id) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
-    known = [(r.score, labels[r.doc_id]) for r in got if r.doc_id in labels]
+    known = [(r.score, labels[r.doc_id]) for r in got if r.doc_id in labels and r.held_out]
     pos, neg = [s for s, y in known if y == 1], [s for s, y in known if y == 0]
     assert np.mean([p > n for p in pos for n in neg]) > 0.85
 

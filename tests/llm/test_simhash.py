@@ -115,22 +115,66 @@ def similarity(x: str, y: str) -> float:
     return len(x & y) / len(x | y)
 
 
-def test_all_pairs_that_meet_are_compared(spark):
-    """The groups of a crowd equal those over all pairs of fingerprints that meet in some band and are alike."""
-    rows = crowd(300, 222)
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    text = dict(rows)
-    fps = [simhash.fingerprint(t, words=5).view("<u4") for _, t in rows]
-    ids, all_ = [i for i, _ in rows], np.stack(fps)
+def pair_roots(rows, keep):
+    """Components over all pairs that ``keep`` (index, indices after it -> chosen ones) names and whose texts are alike."""
+    ids, text = [i for i, _ in rows], dict(rows)
     parent = {i: i for i in ids}
     find = lambda x: x if parent[x] == x else find(parent[x])
-    for k, fp in enumerate(fps):
-        d = np.bitwise_count(all_ ^ fp)
-        for j in np.flatnonzero((d.min(1) <= 2) & (d.sum(1) <= int(simhash.LIMIT * 320)) & (d[:, :2].sum(1) <= np.ceil(64 * simhash.LIMIT) + simhash.SLACK)):
-            if j > k and similarity(text[ids[k]], text[ids[j]]) >= 0.8:
+    for k in range(len(rows)):
+        for j in keep(k):
+            if similarity(text[ids[k]], text[ids[j]]) >= 0.8:
                 x, y = sorted((find(ids[k]), find(ids[j])))
                 parent[y] = x
-    assert got == {i: find(i) for i in ids}
+    return {i: find(i) for i in ids}
+
+
+def test_all_pairs_that_meet_are_compared(spark):
+    """The groups of a crowd equal those over all pairs of fingerprints that meet in some band and are alike."""
+    rows = crowd(300, 222)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    all_ = np.stack([simhash.fingerprint(t, simhash.WIDTH, simhash.BANDS // 2).view("<u4") for _, t in rows])
+
+    def meeting(k):
+        d = np.bitwise_count(all_[k + 1 :] ^ all_[k])
+        return (k + 1 + np.flatnonzero((d.min(1) <= 2) & (d.sum(1) <= int(simhash.LIMIT * 32 * simhash.BANDS)))).tolist()
+
+    assert got == pair_roots(rows, meeting)
+
+
+def test_recall_of_pairs_by_similarity(spark):
+    """Pairs of one original and one copy, with scattered edits or one replaced block: of those alike by 0.8 or more at least
+    0.9 are linked in every band of similarity, and none below 0.8."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    rows, alike = [], {}
+    for g in range(900):
+        n = int(rng.integers(80, 400))
+        w = [word() for _ in range(n)]
+        v = list(w)
+        if g % 2:
+            at, size = int(rng.integers(0, n * 4 // 5)), max(1, int(n * rng.uniform(0.01, 0.11)))
+            v[at : at + size] = [word() for _ in range(size)]
+        else:
+            for at in rng.integers(0, n, max(1, int(n * rng.uniform(0.003, 0.024)))):
+                v[at] = word()
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(v))]
+        alike[2 * g + 1] = similarity(rows[-2][1], rows[-1][1])
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == i for i, s in alike.items() if s < 0.8)
+    for kind in (0, 1):
+        for low in (0.8, 0.85, 0.9):
+            band = [i for i, s in alike.items() if low <= s < low + 0.05 and i // 2 % 2 == kind]
+            found = np.mean([got[i] == i - 1 for i in band])
+            assert len(band) >= 30 and found >= 0.9, (kind, low, len(band), found)
+
+
+def test_near_copies_of_odd_rows(spark):
+    got = simhash.near_copies(odd_documents(spark)).collect()
+    assert len(got) == 12
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, r.component_id)
+    assert by[1] == by[2] == 1 and by[3] in (1, 3) and by[4] == by[9] == 4 and by[5] == 5
 
 
 def test_only_similar_texts_are_linked(spark):
