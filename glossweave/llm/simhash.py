@@ -51,12 +51,14 @@ def fingerprint(text: str | None, width: int = 3, words: int = 1) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
     ones = np.zeros(64 * words, np.int64)
-    step = (1 << 15) // words  # bounded memory for any length
-    for at in range(0, len(h), step):
-        part = h[at : at + step]
-        block = np.stack([part if k == 0 else mix64(part + np.uint64(_STEP * k & (1 << 64) - 1)) for k in range(words)], axis=1)
-        bits = np.unpackbits(block.astype("<u8").view(np.uint8), axis=1, bitorder="little").astype(np.float32)
-        ones += (np.ones(len(bits), np.float32) @ bits).astype(np.int64)  # exact: under 2^24 a block
+    steps = np.array([_STEP * k & (1 << 64) - 1 for k in range(1, words)], np.uint64)
+    rows = (1 << 15) // words  # bounded memory for any length
+    for at in range(0, len(h), rows):
+        part = h[at : at + rows, None]
+        block = np.concatenate([part, mix64(part + steps)], axis=1) if words > 1 else part
+        bits = np.unpackbits(np.ascontiguousarray(block, "<u8").view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):
+            ones += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
     return np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")
 
 
