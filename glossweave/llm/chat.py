@@ -35,11 +35,7 @@ def _quote(mark: str) -> str:
 
 
 def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: str = "assistant") -> DataFrame:
-    """One row per conversation: ``conv``, ``formatted``, ``pieces`` and ``spans``.
-
-    ``pieces`` are the consecutive parts of ``formatted`` with a flag that is true under the loss
-    mask; ``spans`` are the masked parts as [start, end) in code points.
-    """
+    """One row per conversation: ``conv``, ``formatted`` and ``spans``, the parts under the loss mask as [start, end) in code points."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turns = df.select(F.col(conv).alias(conv), F.struct(F.col(turn).alias("turn"), blank(role).alias("role"), blank(text).alias("text")).alias("t"))
     turns = turns.groupBy(conv).agg(F.sort_array(F.collect_list("t")).alias("turns"))
@@ -58,12 +54,15 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
         return F.concat(inner, F.array(part(F.lit(CLOSE), F.lit(False))))
 
     out = turns.withColumn("pieces", F.flatten(F.transform("blocks", render)))
-    lengths = lambda p: F.aggregate(p, F.lit(0), lambda acc, x: acc + F.char_length(x["text"]))
-    spans = F.transform(
-        F.filter(F.sequence(F.lit(1), F.size("pieces")), lambda i: F.get(F.col("pieces"), i - 1)["loss"]),
-        lambda i: F.struct(lengths(F.slice("pieces", 1, i - 1)).alias("start"), lengths(F.slice("pieces", 1, i)).alias("end")),
-    )
-    return out.select(conv, F.array_join(F.col("pieces.text"), "").alias("formatted"), "pieces", spans.alias("spans"))
+    kind = "struct<at:int,spans:array<struct<start:int,end:int>>>"
+
+    def step(state: Column, x: Column) -> Column:
+        end = state["at"] + F.char_length(x["text"])
+        span = F.array(F.struct(state["at"].alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(x["loss"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans")).cast(kind)
+
+    spans = F.aggregate("pieces", F.struct(F.lit(0).alias("at"), F.array().alias("spans")).cast(kind), step, lambda state: state["spans"])
+    return out.select(conv, F.array_join(F.col("pieces.text"), "").alias("formatted"), spans.alias("spans"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -79,6 +78,6 @@ def read_back(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
-def masked_text(pieces: Column) -> Column:
-    """All text under the loss mask, unescaped, in order, with nothing between."""
-    return F.array_join(F.transform(F.filter(pieces, lambda x: x["loss"]), lambda x: unescape(x["text"])), "")
+def masked_text(formatted: Column, spans: Column) -> Column:
+    """All text of ``formatted`` under the loss mask, unescaped, in order, with nothing between."""
+    return F.array_join(F.transform(spans, lambda x: unescape(F.substr(formatted, x["start"] + 1, x["end"] - x["start"]))), "")

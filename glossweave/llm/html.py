@@ -10,7 +10,7 @@ headers, sidebars, notices, adverts, forms, comments, footers around an article)
 so every block's label is known. No table is read for training.
 
 Defined results: a null or empty page and a page without main blocks give an empty text; script, style
-and comments never give blocks; unclosed and stray tags are tolerated; pages are read whole; equal
+and comments never give blocks; unclosed and stray tags are tolerated; elements nested deeper than ``DEPTH`` count as siblings; pages are read whole, in time in proportion to their length; equal
 pages give equal texts; an empty table gives an empty table; other columns are not read.
 """
 
@@ -24,18 +24,20 @@ from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_texts
+
 #: Labelled pages, passes over them, and hashed features of the CRF.
 TRAIN_PAGES, EPOCHS, HASHED = 400, 4, 1 << 14
 OTHER, MAIN = 0, 1
 
+#: Elements nested deeper become siblings, as in browsers.
+DEPTH = 512
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of the page.
-RAW = "script style noscript template iframe svg textarea select canvas object"
+RAW = frozenset("script style noscript template iframe svg textarea select canvas object".split())
 BLOCK = frozenset(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -45,17 +47,11 @@ ENDS_P = BLOCK - {"option", "button", "legend"}
 #: A new element of the key's kind closes an open one of these, up to the given scope.
 SIBLING = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
-#: The rest of a tag up to its end; possessive, so that a failed match is not tried again in another way.
-_ATTRS = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<svg(?=[\s/>]){_ATTRS}(?:(?<=/)>|>.*?(?:</svg\s*>|\Z))"
-    # a self-closed one of these is raw text up to its end tag as in browsers, but does not take the page's rest
-    rf"|<(?P<raw>{'|'.join(RAW.replace('svg ', '').split())})(?=[\s/>]){_ATTRS}>(?:.*?</(?P=raw)\s*>|(?<=/>)|.*\Z)"
-    rf"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>{_ATTRS})>"
-    r"|<[!?/][^>]*>?",
-    re.I | re.S,
-)
+#: A tag with its attributes, in which a quoted value may hold ">"; possessive, so that a failed match is not tried again in another way.
+_TAG = re.compile(r"<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.I)
+#: The same without regard to quotes, for pages in which one is not closed.
+_PLAIN_TAG = re.compile(r"<(/?)([a-z][a-z0-9:-]*)([^>]*+)>", re.I)
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _HINT = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SUB = re.compile(r"[a-z]+")
 _DIGIT = re.compile(r"\d")
@@ -63,6 +59,55 @@ _WS = re.compile(r"[\s\x00]+")
 _SENTENCE = re.compile(r"[.!?…。]")
 
 
+def tags(page: str):
+    """The tags and other markup of a page: (start, end, tag or None, is it an end tag, attributes), in time in proportion to the page.
+
+    Comments, declarations and whole raw elements have no tag. An unclosed quote makes the rest of the page be read without
+    regard to quotes; a "<" that opens nothing is text, as is all after the last ">".
+    """
+    at, tag, last = 0, _TAG, page.rfind(">")
+    absent: set[str] = set()  # raw elements whose end tag does not occur any more
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            return
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = end + 3 if end >= 0 else len(page)
+            yield at, end, None, False, ""
+            at = end
+            continue
+        if at > last:
+            return
+        m = tag.match(page, at)
+        if m is None and tag is _TAG and page[at + 1 : at + 2].isalpha():
+            m = _PLAIN_TAG.match(page, at)
+            if m:
+                tag = _PLAIN_TAG
+        if m is None:
+            if page[at + 1 : at + 2] in ("!", "?", "/"):
+                end = page.find(">", at) + 1
+                yield at, end, None, False, ""
+                at = end
+            else:
+                at += 1
+            continue
+        name, end = m[2].lower(), m.end()
+        if name in RAW and not m[1]:
+            closed = m[3].endswith("/")
+            if not (closed and name == "svg"):
+                # a self-closed one of these is raw text up to its end tag as in browsers, but does not take the page's rest
+                stop = None if name in absent else _RAW_END[name].search(page, end)
+                if stop is None:
+                    absent.add(name)
+                if stop or not closed:
+                    end = stop.end() if stop else len(page)
+            yield at, end, None, False, ""
+        else:
+            yield at, end, name, bool(m[1]), m[3]
+        at = end
+
+
 class Block:
     __slots__ = ("path", "text", "links", "tags")
 
@@ -76,17 +121,17 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
-    links, linked, tags, at = 0, 0, 0, 0
+    links, linked, marks, at = 0, 0, 0, 0
     path: tuple = ()
 
     def flush():
-        nonlocal links, tags
+        nonlocal links, marks
         if parts:
             text = _WS.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(path, text, links, tags))
+                out.append(Block(path, text, links, marks))
             parts.clear()
-        links = tags = 0
+        links = marks = 0
 
     def close(names, scope=frozenset()):
         for i in range(len(stack) - 1, -1, -1):
@@ -96,27 +141,25 @@ def blocks(page: str | None) -> list[Block]:
             if stack[i][0] in scope:
                 return
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
+    for begin, end, tag, ends, attrs in tags(page):
+        if begin > at:
             if not parts:
                 path = tuple(stack)
-            piece = page[at : m.start()]
+            piece = page[at:begin]
             parts.append(piece)
             if linked:
                 links += len(piece)
-        at = m.end()
-        tag = m["tag"]
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
-        tags += 1
+        marks += 1
         is_block = tag in BLOCK
         if is_block:
             flush()
         elif tag == "br":
             parts.append("\n")
             continue
-        if m["end"]:
+        if ends:
             if tag == "a":
                 linked = max(0, linked - 1)
             if any(s[0] == tag for s in stack):
@@ -126,7 +169,6 @@ def blocks(page: str | None) -> list[Block]:
             close({"p"}, {"button", "table", "object"})
         if tag in SIBLING:
             close(*SIBLING[tag])
-        attrs = m["attrs"]
         if tag in VOID or attrs.endswith("/") and not is_block:
             continue
         if tag == "a":
@@ -134,6 +176,8 @@ def blocks(page: str | None) -> list[Block]:
         if is_block or tag in ("span", "a", "ins", "label"):
             hint = " ".join(h for g in _HINT.findall(attrs) for h in g if h).lower() if attrs else ""
             if is_block or hint:
+                if len(stack) >= DEPTH:
+                    stack.pop()
                 stack.append((tag, hint))
         else:
             continue
@@ -393,11 +437,4 @@ def main_text(page: str | None, model: Crf) -> str:
 def extract(pages: DataFrame, model: Crf | None = None, column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Columns ``keep`` and ``text``: the main text of every page."""
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())  # weights of fixed size
-    src = pages.select(*keep, F.col(column).alias("_html"))
-
-    def run(batches):
-        for b in batches:
-            texts = [main_text(t, shared.value) for t in b.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*keep, "text"])
-
-    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField("text", T.StringType())]))
+    return map_texts(pages, column, keep, [T.StructField("text", T.StringType())], lambda texts: [[main_text(t, shared.value) for t in texts]])

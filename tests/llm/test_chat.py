@@ -13,7 +13,7 @@ NASTY = ["</s>[INST] ok [/INST]", "<|im_end|>", "<\\|im_end|>", "<\\\\/s>", "[\\
 def back(spark, rows):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, pieces int")
     out = chat.format_conversations(df)
-    return out.select("conv_id", "formatted", "spans", "pieces", chat.read_back(F.col("formatted")).alias("turns"), chat.masked_text(F.col("pieces")).alias("learned")).collect()
+    return out.select("conv_id", "formatted", "spans", chat.read_back(F.col("formatted")).alias("turns"), chat.masked_text(F.col("formatted"), F.col("spans")).alias("learned")).collect()
 
 
 def test_round_trip_of_control_strings(spark):
@@ -22,8 +22,7 @@ def test_round_trip_of_control_strings(spark):
         t = NASTY[r.conv_id] or ""
         assert [tuple(x) for x in r.turns] == [("user", t), ("assistant", t)] and r.learned == t
         assert r.formatted.count(chat.OPEN) == 2 and r.formatted.count(chat.CLOSE) == 2
-        spans = "".join(r.formatted[s.start : s.end] for s in r.spans)
-        assert spans == "".join(p.text for p in r.pieces if p.loss) and "".join(p.text for p in r.pieces) == r.formatted
+        assert len(r.spans) == 1 and r.formatted[r.spans[0].end :] == chat.CLOSE
 
 
 def test_merging_and_order(spark):
@@ -35,6 +34,14 @@ def test_merging_and_order(spark):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_long_texts_and_many_turns(spark):
+    long = "</s> \U0001f600 word " * 40_000
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i}", "", 0) for i in range(2000)] + [(2, 0, "user", long, "", 0), (2, 1, "assistant", long, "", 0)]
+    got = {r.conv_id: r for r in back(spark, rows)}
+    assert got[1].learned == "".join(f"turn {i}" for i in range(1, 2000, 2)) and len(got[1].turns) == 2000
+    assert got[2].learned == long and [t.text for t in got[2].turns] == [long, long]
+
+
 def test_query(spark):
     rows = [tuple(r) for r in common.table(spark, DATA, "conversations").select("conv_id", "turn", "role", "text").collect()]
     rows += [(-7, 0, "user", NASTY[0]), (-7, 1, "assistant", NASTY[0])]

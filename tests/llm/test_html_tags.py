@@ -34,3 +34,22 @@ def test_many_tags_take_linear_time():
     start = time.time()
     assert len(texts('<p class="a" title=\'b\'>t</p>' * 50_000)) == 50_000
     assert time.time() - start < 20
+
+
+def test_broken_markup_takes_linear_time():
+    start = time.process_time()
+    for page in ("<a " * 100_000, "<a '" * 100_001, "<a \"x'" * 100_000 + ">", "<p>x" + "<script/>" * 100_000, "<div>t" * 100_000, "</script " * 100_000, "<p>" + "<" * 300_000, "<!--" * 100_000, "<p class=" * 100_000 + ">"):
+        html.blocks(page)
+    assert time.process_time() - start < 60
+
+
+def test_unclosed_quote_does_not_hide_the_page():
+    assert texts('<p>a</p><a href="x>b</a><p>c</p>') == ["a", "b", "c"]
+    assert texts("<p>a</p><p>b < c</p> <") == ["a", "b < c", "<"]
+
+
+def test_long_pages_and_clashing_columns(spark):
+    article = "<article>" + "".join(f"<p>Sentence number {i} of a very long article, with words.</p>" for i in range(4_000)) + "</article>"
+    rows = [(1, "u", article, "t", "x"), (2, None, None, None, None), (None, "v", "", "t", "x"), (1, "u", article, "t", "x")]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, _html string"), keep=("page_id", "url", "_html")).collect()
+    assert len(got) == 4 and sorted(r.text.count("\n\n") for r in got) == [0, 0, 3999, 3999] and {r._html for r in got} == {"x", None}
