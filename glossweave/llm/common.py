@@ -129,7 +129,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e = checkpoint(near.unionByName(step.select("u", F.col("m").alias("v"))).distinct())
 
 
-def grouped(values: list, limit: int = 1 << 19):
+def grouped(values: list, limit: int = 1 << 17):
     """Index ranges of a list of strings or bytes, of about ``limit`` units each."""
     at, size = 0, 0
     for i, x in enumerate(values):

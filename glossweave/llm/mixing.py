@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, ordered
+from .common import WORD, bounded, ordered
 
 #: The distinct sources are planned on the driver; beyond this many the call is refused.
 MAX_SOURCES = 1_000_000
@@ -98,17 +98,11 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     b = block_words(total, block)
     blocks = [min(s, max(-(-s // b), LEAST_BLOCKS)) for s in sizes]
     slot_goal = [g * n / s if s else 0.0 for g, n, s in zip(goal, blocks, sizes)]
-    plan = spark.sparkContext.broadcast({n: (i, int(base[i]), sizes[i], goal[i], *divmod(sizes[i], max(blocks[i], 1))) for i, n in enumerate(names)})
-
-    def place(batches):
-        for p in batches:
-            found = [plan.value[None if s is None or s != s else s] for s in p.source]
-            p["six"], p["source_size"], p["target"] = [f[0] for f in found], [f[2] for f in found], [float(f[3]) for f in found]
-            p["at"] = p["_start"] - np.array([f[1] for f in found], np.int64) if len(p) else p["_start"]
-            p["short"], p["longer"] = [f[4] for f in found], [f[5] for f in found]
-            yield p[["_pos", "id", "source", "size", "source_size", "target", "six", "at", "short", "longer"]].rename(columns={"_pos": "row"})
-
-    documents = df.mapInPandas(place, f"row long, id {df.schema['id'].dataType.simpleString()}, source string, size long, source_size long, target double, six int, at long, short long, longer long")
+    # one small row a source, joined in the JVM
+    plan = [(n, i, int(base[i]), sizes[i], float(goal[i]), *divmod(sizes[i], max(blocks[i], 1))) for i, n in enumerate(names)]
+    plan = bounded(spark.createDataFrame(plan, "name string, six int, base long, source_size long, target double, short long, longer long"), "name")
+    documents = df.join(plan, F.col("source").cast("string").eqNullSafe(F.col("name")))
+    documents = documents.select(F.col("_pos").alias("row"), "id", "source", "size", "source_size", "target", "six", (F.col("_start") - F.col("base")).alias("at"), "short", "longer")
     # the first ``longer`` blocks of a source have one word more than the others' ``short``
     at_block = lambda w: F.expr(f"CASE WHEN {w} < longer * (short + 1) THEN {w} div (short + 1) ELSE longer + ({w} - longer * (short + 1)) div short END")
     starts = lambda k: k * F.col("short") + F.least(k, F.col("longer"))
