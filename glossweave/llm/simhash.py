@@ -26,13 +26,15 @@ from .common import bounded, checkpoint, components, map_texts
 from .parsing import mix64
 
 SEED = 42  # fixed by the contract
-#: Share of differing bits over 2-word shingles up to which a pair is a candidate: texts alike by 0.8 or more on 5-word shingles
-#: differ in 15% of the bits if one block was replaced and in 9% if edits are scattered, with a deviation of 1.6% for 512 bits.
-LIMIT = 0.22
+#: Share of differing bits of the 5-word shingles' fingerprint up to which a pair is a candidate: texts alike by 0.8 differ in 15.1% of
+#: the bits (the angle of a cosine of 8/9, over pi), with a deviation of 1.6% for 512 bits; one in a thousand of them differs more.
+LIMIT = 0.2
 #: Least Jaccard similarity of 5-word shingles of copies, and those shingles' words.
 LEAST, SHINGLE = 0.8, 5
 #: Bands of 32 bits, and the words of the shingles that they are made from.
 BANDS, WIDTH = 16, 2
+#: Fingerprints compared with each before the rest of the pairs that meet are; it does not affect results.
+NEAREST = 3
 
 
 #: Odd steps that make further hashes of a shingle out of its first one.
@@ -126,11 +128,11 @@ def named(fps: DataFrame, roots: DataFrame, id: str) -> DataFrame:
 def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, bands: int = BANDS, limit: float = LIMIT) -> DataFrame:
     """One row per document: ``id``, ``fp`` and ``component_id``, for copies with a few edits.
 
-    A fingerprint of ``bands`` (an even number) bands of 32 bits is made. Every band emits its ball of half
+    A fingerprint of ``bands`` (an even number) bands of 32 bits is made of shingles of ``width`` words. Every band emits its ball of half
     radius 1, so fingerprints that differ in at most 2 bits of some band meet; a pair that meets is a
-    candidate if it differs in at most that share ``limit`` of all bits, and is linked if the five-word shingles of
+    candidate if fingerprints of as many bits of the five-word shingles differ in at most that share ``limit``, and is linked if the five-word shingles of
     the whole texts have a Jaccard similarity of ``LEAST``. Equal texts are one node, named ``fp`` (a 64-bit hash of the text).
-    First each fingerprint is tied to the nearest of those that are first or just before it in a meeting place, which
+    First each fingerprint is compared with the ``NEAREST`` nearest of those that are first or just before it in a meeting place, which
     joins most of a large group in rows in proportion to its size; then all pairs that meet and are still in different
     components are compared, so every similar pair that meets ends in one component.
 
@@ -140,25 +142,31 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     words = [f"fp{k}" for k in range(bands // 2)]
     texts = docs.select(F.col(id), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = texts.withColumn("fp", F.xxhash64("text"))
-    fps = checkpoint(fingerprints(texts, "text", width, (id, "fp"), len(words)))
+    finer = [f"s{k}" for k in range(len(words))]
+    fields = [T.StructField(n, T.LongType()) for n in [*words, *finer]]
+    both_widths = lambda t: np.concatenate([fingerprint(t, width, len(words)), fingerprint(t, SHINGLE, len(words))])
+    fps = checkpoint(map_texts(texts, "text", (id, "fp"), fields, lambda texts: np.stack([both_widths(t) for t in texts], axis=1)))
     texts = texts.select("fp", "text")
-    nodes = fps.select("fp", *words).dropDuplicates(["fp"])
+    nodes = fps.select("fp", *words, *finer).dropDuplicates(["fp"])
     band = lambda k: F.shiftrightunsigned(F.col(words[k // 2]), 32 * (k % 2)).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(k << 32))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
 
     def close(pairs: DataFrame) -> DataFrame:
-        left, right = nodes.select(F.col("fp").alias("a"), *[F.col(w).alias(f"a{w}") for w in words]), nodes.select(F.col("fp").alias("b"), *[F.col(w).alias(f"b{w}") for w in words])
-        apart = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in words[1:]), F.bit_count(F.col("afp0").bitwiseXOR(F.col("bfp0"))))
-        return pairs.join(left, "a").join(right, "b").withColumn("apart", apart).where(F.col("apart") <= int(limit * 64 * len(words))).select("a", "b", "apart")
+        side = lambda x: nodes.select(F.col("fp").alias(x), *[F.col(n).alias(x + n) for n in finer])
+        apart = [F.bit_count(F.col("a" + n).bitwiseXOR(F.col("b" + n))) for n in finer]
+        return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("apart", sum(apart[1:], apart[0])).where(F.col("apart") <= int(limit * 64 * len(finer))).select("a", "b", "apart")
 
     ball = nodes.select("fp", F.explode(F.array(*[band(k) for k in range(bands)])).alias("band"))
     ball = ball.select("fp", F.explode(flips).alias("flip"), "band").select("fp", F.col("band").bitwiseXOR(F.col("flip")).alias("variant"))
-    place = Window.partitionBy("variant").orderBy("fp")
-    met = ball.select("variant", "fp", F.first("fp").over(place).alias("first"), F.lag("fp").over(place).alias("last"), F.lead("fp").over(place).alias("next"))
-    met = checkpoint(met.where("last is not null or next is not null").drop("next"))  # few rows but those of copies: most variants have one fingerprint
-    others = F.explode(F.array_distinct(F.array("first", "last")))
-    pairs = met.where("last is not null").select(F.col("fp").alias("b"), others.alias("a")).distinct()
-    nearest = checkpoint(close(pairs.select("a", "b")).groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"))
+    met = ball.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("variant"))).where("n > 1")
+    met = checkpoint(met)  # few rows but those of copies: most variants have one fingerprint
+    # an original meets more of its copies than they meet each other, so the one that meets most comes first in its places
+    weight = met.groupBy("fp").agg(F.sum("n").alias("weight"))
+    place = Window.partitionBy("variant").orderBy(F.desc("weight"), "fp")
+    pairs = met.join(weight, "fp").select(F.col("fp").alias("b"), F.first("fp").over(place).alias("first"), F.lag("fp").over(place).alias("last"))
+    pairs = pairs.select("b", F.explode(F.array_distinct(F.array("first", "last"))).alias("a")).where("a <> b").distinct()
+    ranked = close(pairs).withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy("apart", "a")))
+    nearest = checkpoint(ranked.where(F.col("rank") <= NEAREST).select("a", "b"))
     ties = checkpoint(similar(nearest, texts))
 
     tied = components(ties)
