@@ -222,12 +222,10 @@ def escape_tsv(c: Column) -> Column:
 
 
 def unescape_tsv(c: Column) -> Column:
-    """One left-to-right pass: a doubled backslash is set aside first; unknown escapes stay."""
-    mark = "\u0001"
-    out = F.replace(blank(c), F.lit("\\\\"), F.lit(mark))
-    out = F.replace(out, F.lit("\\t"), F.lit("\t"))
-    out = F.replace(out, F.lit("\\n"), F.lit("\n"))
-    return F.replace(out, F.lit(mark), F.lit("\\"))
+    """One left-to-right pass: the text is cut at doubled backslashes, and the parts are unescaped by themselves; unknown escapes stay."""
+    parts = F.split(blank(c), r"\\\\")
+    plain = F.transform(parts, lambda x: F.replace(F.replace(x, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")))
+    return F.array_join(plain, "\\")
 
 
 def preview(c: Column, limit: int = 40) -> Column:

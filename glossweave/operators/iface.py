@@ -24,12 +24,14 @@ def merge(english: DataFrame, existing: DataFrame, imported: DataFrame) -> DataF
 def prefix_match(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """Each target's file: the one of the same base name, else the first whose name starts with the target.
 
-    The prefix search joins on the first three letters, so only names that share them meet.
+    A file's name meets a target by an equal prefix: each name is unfolded into its prefixes of the lengths that open targets
+    have, so a target of any length is found and names that share only a beginning do not meet.
     """
     exact = wanted.join(files.select(F.lower("name").alias("_n"), "name"), F.lower("target") == F.col("_n")).groupBy("target").agg(F.min("name").alias("file"))
-    rest = wanted.join(exact, "target", "left_anti")
-    head = lambda c: F.lower(F.substring(c, 1, 3))
-    near = rest.withColumn("_h", head("target")).join(files.withColumn("_h", head("name")), "_h").where(F.startswith(F.lower("name"), F.lower("target")))
+    rest = wanted.join(exact, "target", "left_anti").withColumn("_h", F.lower("target"))
+    lengths = sorted(r["n"] for r in rest.select(F.char_length("_h").alias("n")).distinct().collect())  # lengths of names: a few small numbers
+    cut = F.array_distinct(F.array(*[F.when(F.char_length("name") >= n, F.lower(F.substring("name", 1, n))) for n in lengths])) if lengths else F.array().cast("array<string>")
+    near = rest.join(files.select("name", F.explode(cut).alias("_h")), "_h")
     return exact.unionByName(near.groupBy("target").agg(F.min("name").alias("file")))
 
 

@@ -19,7 +19,7 @@ RUN = X.KATAKANA.replace("[", "[ー") + "+"
 
 def pair_words(corpus: DataFrame, longest: int = 20_000, max_words: int = 3_000, max_runs: int = 1_000) -> DataFrame:
     """row_id, ws (distinct lower-case words), rs (distinct katakana runs of two or more) of usable rows."""
-    ws = F.array_distinct(F.transform(F.regexp_extract_all(X.blank(F.col("english")), F.lit("[A-Za-z']+"), 0), F.lower))
+    ws = F.array_distinct(F.transform(F.regexp_extract_all(X.blank(F.col("english")), F.lit("[A-Za-z][A-Za-z']*"), 0), F.lower))
     rs = F.array_distinct(F.filter(F.regexp_extract_all(X.blank(F.col("japanese")), F.lit(RUN), 0), lambda r: F.char_length(r) >= 2))
     df = corpus.where(F.char_length("english").between(1, longest)).select("row_id", ws.alias("ws"), rs.alias("rs"))
     return df.where(F.size("ws").between(1, max_words) & F.size("rs").between(1, max_runs))
@@ -34,9 +34,10 @@ def co_occurrence(pairs: DataFrame) -> DataFrame:
     return both.join(words, "word").join(runs, "run").withColumn("dice", dice)
 
 
-def best_pairs(table: DataFrame, least: int = MIN_TOGETHER, min_dice: float = MIN_DICE) -> DataFrame:
-    """The word of highest Dice for each run, then the first run of each word; ties by word and run."""
+def best_pairs(table: DataFrame, least: int = MIN_TOGETHER, min_dice: float = MIN_DICE, credible: Column | None = None) -> DataFrame:
+    """The word of highest Dice for each run, if it is ``credible``, then the first run of each word; ties by word and run."""
     per_run = first_by(table.where(F.col("together") >= least), ["run"], [F.desc(F.round("dice", 12)), F.asc("word")]).where(F.col("dice") >= min_dice)
+    per_run = per_run if credible is None else per_run.where(credible)
     return first_by(per_run, ["word"], [F.desc(F.round("dice", 12)), F.asc("run")])
 
 
@@ -45,14 +46,13 @@ def vouched(mined: DataFrame, corpus: DataFrame) -> DataFrame:
     non-letters. An equi-join on the entry's words, never a cross join."""
     n = F.regexp_count("japanese", F.lit(RUN))
     short = corpus.where(F.char_length("english").between(1, WITNESS_CHARS) & n.between(1, WITNESS_RUNS))
-    w = short.select("japanese", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("english", F.lit("[A-Za-z]+"), 0), F.lower))).alias("word"))
+    w = short.select("japanese", F.explode(F.array_distinct(F.transform(F.concat(F.regexp_extract_all("english", F.lit("[A-Za-z]+"), 0), F.regexp_extract_all("english", F.lit("[A-Za-z][A-Za-z']*"), 0)), F.lower))).alias("word"))
     return mined.join(w, "word").where(F.contains("japanese", F.col("run"))).groupBy("word", "run").agg(F.count(F.lit(1)).alias("witnesses"))
 
 
 def align(corpus: DataFrame) -> DataFrame:
     """Sentence alignment: best pairs that are phonetically plausible and vouched for."""
-    best = best_pairs(co_occurrence(pair_words(corpus)))
-    return vouched(best.where(udfs.plausible(F.col("word"), F.col("run"))), corpus)
+    return vouched(best_pairs(co_occurrence(pair_words(corpus)), credible=udfs.plausible(F.col("word"), F.col("run"))), corpus)
 
 
 def heads(corpus: DataFrame, least: int = HEAD_SUPPORT) -> DataFrame:
