@@ -13,7 +13,9 @@ has no other; an empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 import numpy as np
 import xxhash
@@ -27,8 +29,9 @@ from .parsing import mix64
 
 SEED = 42  # fixed by the contract
 #: Share of differing bits of the 5-word shingles' fingerprint up to which a pair is a candidate: texts alike by 0.8 differ in 15.1% of
-#: the bits (the angle of a cosine of 8/9, over pi), with a deviation of 1.6% for 512 bits; one in a thousand of them differs more.
-LIMIT = 0.2
+#: the bits (the angle of a cosine of 8/9, over pi), with a deviation of 1.6% for 512 bits and 0.8% for 2048; one in a thousand of them
+#: differs more. ``LIMIT`` holds for the first words of that fingerprint, ``FINE_LIMIT`` for all its ``FINE`` words.
+LIMIT, FINE_LIMIT, FINE = 0.2, 0.1755, 32
 #: Least Jaccard similarity of 5-word shingles of copies, and those shingles' words.
 LEAST, SHINGLE = 0.8, 5
 #: Bands of 32 bits, and the words of the shingles that they are made from.
@@ -130,11 +133,12 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
 
     A fingerprint of ``bands`` (an even number) bands of 32 bits is made of shingles of ``width`` words. Every band emits its ball of half
     radius 1, so fingerprints that differ in at most 2 bits of some band meet; a pair that meets is a
-    candidate if fingerprints of as many bits of the five-word shingles differ in at most that share ``limit``, and is linked if the five-word shingles of
-    the whole texts have a Jaccard similarity of ``LEAST``. Equal texts are one node, named ``fp`` (a 64-bit hash of the text).
+    candidate if fingerprints of the five-word shingles differ in at most a share of bits (``limit`` of as many bits at first, ``FINE_LIMIT`` of
+    ``FINE`` words for the rest), and is linked if the five-word shingles of the whole texts have a Jaccard similarity of ``LEAST``. Equal texts are one node, named ``fp`` (a 64-bit hash of the text).
     First each fingerprint is compared with the ``NEAREST`` nearest of those that are first or just before it in a meeting place, which
     joins most of a large group in rows in proportion to its size; then all pairs that meet and are still in different
-    components are compared, so every similar pair that meets ends in one component.
+    components are compared, inside the join of a place's members and in the first place that they share only, so every similar pair
+    that meets ends in one component.
 
     Defined results: null and empty texts are one node; a text under five words is one shingle; rows with equal ids stay
     separate rows; an empty table gives an empty table; other columns are not read.
@@ -142,12 +146,13 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     words = [f"fp{k}" for k in range(bands // 2)]
     texts = docs.select(F.col(id), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = texts.withColumn("fp", F.xxhash64("text"))
-    finer = [f"s{k}" for k in range(len(words))]
-    fields = [T.StructField(n, T.LongType()) for n in [*words, *finer]]
-    both_widths = lambda t: np.concatenate([fingerprint(t, width, len(words)), fingerprint(t, SHINGLE, len(words))])
+    finest = [f"s{k}" for k in range(max(FINE, len(words)))]
+    finer = finest[: len(words)]
+    fields = [T.StructField(n, T.LongType()) for n in [*words, *finest]]
+    both_widths = lambda t: np.concatenate([fingerprint(t, width, len(words)), fingerprint(t, SHINGLE, len(finest))])
     fps = checkpoint(map_texts(texts, "text", (id, "fp"), fields, lambda texts: np.stack([both_widths(t) for t in texts], axis=1)))
     texts = texts.select("fp", "text")
-    nodes = fps.select("fp", *words, *finer).dropDuplicates(["fp"])
+    nodes = fps.select("fp", *words, *finest).dropDuplicates(["fp"])
     band = lambda k: F.shiftrightunsigned(F.col(words[k // 2]), 32 * (k % 2)).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(k << 32))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
 
@@ -173,8 +178,16 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     here = Window.partitionBy("variant")
     rooted = met.join(tied, met.fp == tied.node, "left").select("variant", "fp", F.coalesce("root", "fp").alias("root"))
     mixed = rooted.withColumn("low", F.min("root").over(here)).withColumn("high", F.max("root").over(here)).where("low <> high")
-    left, right = mixed.select("variant", F.col("fp").alias("a"), F.col("root").alias("aroot")), mixed.select("variant", F.col("fp").alias("b"), F.col("root").alias("broot"))
-    rest = left.join(right, "variant").where((F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")))
-    rest = checkpoint(close(rest.select("a", "b").distinct()).select("a", "b"))
+    place = F.shiftrightunsigned("variant", 32)
+    mixed = mixed.join(nodes, "fp").withColumn("own", F.get(F.array(*[band(k) for k in range(bands)]), place.cast("int")))
+    left, right = (mixed.select(*[F.col(n).alias(x + n) for n in ("variant", "fp", "root", "own", *words, *finest)]) for x in "ab")
+    apart = lambda n: F.col("a" + n).bitwiseXOR(F.col("b" + n))
+    half = lambda k: F.shiftrightunsigned(apart(words[k // 2]), 32 * (k % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+    # a pair shares up to 33 variants of a band: it is compared in the one that has a's bits but for the lowest of two that differ
+    lowest = F.when(F.bit_count(apart("own")) == 2, apart("own").bitwiseAND(F.negative(apart("own")))).otherwise(F.lit(0).cast("long"))
+    tests = [F.col("afp") < F.col("bfp"), F.col("aroot") != F.col("broot"), F.col("avariant") == F.col("aown").bitwiseXOR(lowest)]
+    tests += [sum((F.bit_count(apart(n)) for n in finest[1:]), F.bit_count(apart(finest[0]))) <= int(FINE_LIMIT * 64 * len(finest))]
+    tests += [(F.shiftrightunsigned("avariant", 32) <= k) | (F.bit_count(half(k)) > 2) for k in range(bands - 1)]
+    rest = checkpoint(left.join(right, reduce(and_, tests, F.col("avariant") == F.col("bvariant"))).select(F.col("afp").alias("a"), F.col("bfp").alias("b")))
     edges = ties.unionByName(similar(rest, texts))
     return named(fps.select(id, "fp"), components(edges), id)
