@@ -17,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -35,6 +35,10 @@ LEAST, SHINGLE = 0.8, 5
 BANDS, WIDTH = 16, 2
 #: Fingerprints compared with each before the rest of the pairs that meet are; it does not affect results.
 NEAREST = 3
+#: Members up to which all pairs of a meeting place are compared at once; it does not affect results.
+CROWD = 16
+#: Parts of the shingle hashes by which the common shingles of two texts are bounded; it does not affect results.
+PARTS = 32
 
 
 #: Odd steps that make further hashes of a shingle out of its first one.
@@ -90,6 +94,44 @@ def similar(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFra
     return both.where(F.col("common") >= F.lit(least) * (x + y - F.col("common"))).select("a", "b")
 
 
+def of_two(rows: DataFrame, place: str, root: str) -> DataFrame:
+    """The rows of those places that hold more than one root."""
+    here = Window.partitionBy(place)
+    both = rows.withColumn("low", F.min(root).over(here)).withColumn("high", F.max(root).over(here))
+    return both.where("low <> high").drop("low", "high")
+
+
+def reach(nodes: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """What bounds the similarity of every distinct ``fp`` of ``nodes`` with any other: ``size`` (shingles), ``most`` and ``parts``.
+
+    A shingle that no other node has cannot be common. With ``shared`` other ones, a partner of ``s`` shingles has a Jaccard
+    similarity of at most ``shared / (s + size - shared)``, which falls below ``least`` when ``s > most``. ``parts`` counts the
+    shared shingles by their hash in ``PARTS`` parts, for ``alike``; it is null if a count is too large for it.
+    """
+    needed = bounded(checkpoint(nodes.select("fp").distinct()))
+    fields = [T.StructField("shingles", T.ArrayType(T.LongType()))]
+    once = texts.join(needed, "fp", "left_semi").dropDuplicates(["fp"])
+    sets = checkpoint(map_texts(once, "text", ("fp",), fields, lambda texts: [[shingles(t) for t in texts]]))
+    rows = sets.select("fp", F.explode("shingles").alias("s"))
+    alone = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp")).where("n = 1")
+    part = F.pmod("s", F.lit(PARTS)).cast("int").alias("part")
+    marks = rows.select("fp", part, F.lit(1).alias("w")).unionByName(alone.select("fp", part, F.lit(-1).alias("w")))
+    counts = marks.groupBy("fp", "part").agg(F.sum("w").alias("shared"), F.count_if(F.col("w") > 0).alias("size"))
+    per = counts.groupBy("fp").agg(F.sum("size").alias("size"), F.sum("shared").alias("shared"), F.max("shared").alias("top"), F.map_from_entries(F.collect_list(F.struct("part", "shared"))).alias("by"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.coalesce(F.try_element_at("by", k), F.lit(0)).cast("short"))
+    # a whole number too large by at most one: rounding never rules out a pair
+    most = F.ceil(F.col("shared") / F.lit(least) - (F.col("size") - F.col("shared")))
+    return per.select("fp", "size", most.alias("most"), F.when(F.col("top") < 1 << 15, parts).alias("parts"))
+
+
+def alike(a: str, b: str, least: float = LEAST) -> Column:
+    """Whether two nodes of ``reach`` (columns with those prefixes) can be alike: no more is common than the lesser count of every part."""
+    fits = (F.col(b + "size") <= F.col(a + "most")) & (F.col(a + "size") <= F.col(b + "most"))
+    common = F.aggregate(F.zip_with(a + "parts", b + "parts", lambda x, y: F.least(x, y)), F.lit(0), lambda sum, x: sum + x)
+    # one more than the count that is needed, so that rounding never rules out a pair
+    return fits & F.coalesce((common + 1) * (1 + least) >= F.lit(least) * (F.col(a + "size") + F.col(b + "size")), F.lit(True))
+
+
 def masks(half: int) -> list[int]:
     """Signed 64-bit masks of at most ``half`` bits; the first is 0."""
     out = [sum(1 << i for i in c) for n in range(half + 1) for c in combinations(range(64), n)]
@@ -134,7 +176,8 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     the whole texts have a Jaccard similarity of ``LEAST``. Equal texts are one node, named ``fp`` (a 64-bit hash of the text).
     First each fingerprint is compared with the ``NEAREST`` nearest of those that are first or just before it in a meeting place, which
     joins most of a large group in rows in proportion to its size; then all pairs that meet and are still in different
-    components are compared, so every similar pair that meets ends in one component.
+    components are compared, so every similar pair that meets ends in one component. In a place of more than ``CROWD`` members those pairs
+    are left out that cannot be alike, because too many of their shingles occur in no other text of such places or in other parts (``reach``).
 
     Defined results: null and empty texts are one node; a text under five words is one shingle; rows with equal ids stay
     separate rows; an empty table gives an empty table; other columns are not read.
@@ -170,11 +213,17 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     ties = checkpoint(similar(nearest, texts))
 
     tied = components(ties)
+    rooted = met.join(tied, met.fp == tied.node, "left").select("variant", "n", "fp", F.coalesce("root", "fp").alias("root"))
+    mixed = checkpoint(of_two(rooted, "variant", "root"))
+    few = mixed.where(F.col("n") <= CROWD)
+    crowd = mixed.where(F.col("n") > CROWD).drop("n").join(reach(mixed.where(F.col("n") > CROWD), texts), "fp")
     here = Window.partitionBy("variant")
-    rooted = met.join(tied, met.fp == tied.node, "left").select("variant", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = rooted.withColumn("low", F.min("root").over(here)).withColumn("high", F.max("root").over(here)).where("low <> high")
-    left, right = mixed.select("variant", F.col("fp").alias("a"), F.col("root").alias("aroot")), mixed.select("variant", F.col("fp").alias("b"), F.col("root").alias("broot"))
-    rest = left.join(right, "variant").where((F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")))
-    rest = checkpoint(close(rest.select("a", "b").distinct()).select("a", "b"))
+    crowd = crowd.withColumn("low", F.min("size").over(here)).withColumn("high", F.max("most").over(here)).where("most >= low AND size <= high")
+    crowd = of_two(crowd.drop("low", "high"), "variant", "root")
+    side = lambda df, x: df.select("variant", *[F.col(c).alias(x + c) for c in df.columns if c not in ("variant", "n")])
+    other = (F.col("afp") < F.col("bfp")) & (F.col("aroot") != F.col("broot"))
+    rest = side(few, "a").join(side(few, "b"), "variant").where(other).select("afp", "bfp")
+    rest = rest.unionByName(side(crowd, "a").join(side(crowd, "b"), "variant").where(other & alike("a", "b")).select("afp", "bfp"))
+    rest = checkpoint(close(rest.select(F.col("afp").alias("a"), F.col("bfp").alias("b")).distinct()).select("a", "b"))
     edges = ties.unionByName(similar(rest, texts))
     return named(fps.select(id, "fp"), components(edges), id)

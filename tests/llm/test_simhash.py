@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from glossweave.llm import common, simhash
@@ -182,3 +183,23 @@ def test_only_similar_texts_are_linked(spark):
     assert 0.6 < similarity(rows[0][1], rows[2][1]) < 0.75 and similarity(rows[0][1], rows[1][1]) >= 0.8
     got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(c == i % 300 for i, c in got.items())
+
+
+def test_bounds_of_a_crowd_lose_no_pair(spark):
+    """Edited copies of one text, about half of them under 0.8 to everyone: the bounds rule out most pairs, and no pair that is alike."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(90):
+        w = list(base)
+        for at in rng.integers(0, 150, int(rng.integers(1, 9))):
+            w[at : at + int(rng.integers(0, 3))] = [word() for _ in range(int(rng.integers(1, 3)))]
+        rows.append((i, " ".join(w)))
+    nodes, texts = spark.range(90).withColumnRenamed("id", "fp"), spark.createDataFrame(rows, "fp long, text string")
+    got = simhash.reach(nodes, texts)
+    side = lambda x: got.select(*[F.col(c).alias(x + c) for c in got.columns])
+    kept = {(r.afp, r.bfp) for r in side("a").join(side("b"), F.col("afp") < F.col("bfp")).where(simhash.alike("a", "b")).collect()}
+    near = {(i, j): similarity(rows[i][1], rows[j][1]) for i in range(90) for j in range(i + 1, 90)}
+    assert {p for p, s in near.items() if s >= 0.8} <= kept
+    unlike = [p for p, s in near.items() if s < 0.7]
+    assert len(unlike) > 1000 and sum(p in kept for p in unlike) < 0.1 * len(unlike)
