@@ -35,8 +35,10 @@ LEAST, SHINGLE = 0.8, 5
 BANDS, WIDTH = 16, 2
 #: Fingerprints compared with each before the rest of the pairs that meet are; it does not affect results.
 NEAREST = 3
-#: Members up to which all pairs of a meeting place are compared at once; it does not affect results.
-CROWD = 16
+#: Others that a fingerprint has met most often, of which the nearest are taken; it does not affect results.
+MEETINGS = 6
+#: Meetings up to which a fingerprint is compared with all others that it meets, without bounds; it does not affect results.
+QUIET = 64
 #: Parts of the shingle hashes by which the common shingles of two texts are bounded; it does not affect results.
 PARTS = 32
 
@@ -125,11 +127,12 @@ def reach(nodes: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame
 
 
 def alike(a: str, b: str, least: float = LEAST) -> Column:
-    """Whether two nodes of ``reach`` (columns with those prefixes) can be alike: no more is common than the lesser count of every part."""
+    """Whether two nodes of ``reach`` (columns with those prefixes; null: not known) can be alike: no more is common than the lesser count of every part."""
     fits = (F.col(b + "size") <= F.col(a + "most")) & (F.col(a + "size") <= F.col(b + "most"))
     common = F.aggregate(F.zip_with(a + "parts", b + "parts", lambda x, y: F.least(x, y)), F.lit(0), lambda sum, x: sum + x)
     # one more than the count that is needed, so that rounding never rules out a pair
-    return fits & F.coalesce((common + 1) * (1 + least) >= F.lit(least) * (F.col(a + "size") + F.col(b + "size")), F.lit(True))
+    enough = (common + 1) * (1 + least) >= F.lit(least) * (F.col(a + "size") + F.col(b + "size"))
+    return F.coalesce(fits, F.lit(True)) & F.coalesce(enough, F.lit(True))
 
 
 def masks(half: int) -> list[int]:
@@ -174,10 +177,10 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     radius 1, so fingerprints that differ in at most 2 bits of some band meet; a pair that meets is a
     candidate if fingerprints of as many bits of the five-word shingles differ in at most that share ``limit``, and is linked if the five-word shingles of
     the whole texts have a Jaccard similarity of ``LEAST``. Equal texts are one node, named ``fp`` (a 64-bit hash of the text).
-    First each fingerprint is compared with the ``NEAREST`` nearest of those that are first or just before it in a meeting place, which
+    First each fingerprint is compared with the ``NEAREST`` nearest of those that are most often first or just before it in a meeting place, which
     joins most of a large group in rows in proportion to its size; then all pairs that meet and are still in different
-    components are compared, so every similar pair that meets ends in one component. In a place of more than ``CROWD`` members those pairs
-    are left out that cannot be alike, because too many of their shingles occur in no other text of such places or in other parts (``reach``).
+    components are compared, so every similar pair that meets ends in one component. Of two fingerprints with more than ``QUIET`` meetings
+    left, only those are compared that can be alike by their numbers of shingles that no other such text has, or by parts (``reach``).
 
     Defined results: null and empty texts are one node; a text under five words is one shingle; rows with equal ids stay
     separate rows; an empty table gives an empty table; other columns are not read.
@@ -200,30 +203,33 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
         return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("apart", sum(apart[1:], apart[0])).where(F.col("apart") <= int(limit * 64 * len(finer))).select("a", "b", "apart")
 
     ball = nodes.select("fp", F.explode(F.array(*[band(k) for k in range(bands)])).alias("band"))
-    ball = ball.select("fp", F.explode(flips).alias("flip"), "band").select("fp", F.col("band").bitwiseXOR(F.col("flip")).alias("variant"))
-    met = ball.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("variant"))).where("n > 1")
-    met = checkpoint(met)  # few rows but those of copies: most variants have one fingerprint
+    ball = ball.select("fp", "band", F.posexplode(flips).alias("at", "flip")).select("fp", F.col("at").cast("byte").alias("at"), F.col("band").bitwiseXOR(F.col("flip")).alias("variant"))
+    here = Window.partitionBy("variant")
+    met = ball.withColumn("n", F.count(F.lit(1)).over(here)).withColumn("low", F.min("at").over(here)).withColumn("high", F.max("at").over(here))
+    # few rows but those of copies: most variants have one fingerprint; equal bands need not meet again where both are flipped alike
+    met = checkpoint(met.where("n > 1 AND (low < high OR low = 0)").drop("low", "high"))
     # an original meets more of its copies than they meet each other, so the one that meets most comes first in its places
     weight = met.groupBy("fp").agg(F.sum("n").alias("weight"))
     place = Window.partitionBy("variant").orderBy(F.desc("weight"), "fp")
     pairs = met.join(weight, "fp").select(F.col("fp").alias("b"), F.first("fp").over(place).alias("first"), F.lag("fp").over(place).alias("last"))
-    pairs = pairs.select("b", F.explode(F.array_distinct(F.array("first", "last"))).alias("a")).where("a <> b").distinct()
+    pairs = pairs.select("b", F.explode(F.array_distinct(F.array("first", "last"))).alias("a")).where("a <> b").groupBy("b", "a").agg(F.count(F.lit(1)).alias("met"))
+    often = Window.partitionBy("b").orderBy(F.desc("met"), "a")
+    pairs = pairs.withColumn("rank", F.row_number().over(often)).where(F.col("rank") <= MEETINGS).select("a", "b")
     ranked = close(pairs).withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy("apart", "a")))
     nearest = checkpoint(ranked.where(F.col("rank") <= NEAREST).select("a", "b"))
     ties = checkpoint(similar(nearest, texts))
 
     tied = components(ties)
-    rooted = met.join(tied, met.fp == tied.node, "left").select("variant", "n", "fp", F.coalesce("root", "fp").alias("root"))
+    rooted = met.join(tied, met.fp == tied.node, "left").select("variant", "at", "n", "fp", F.coalesce("root", "fp").alias("root"))
     mixed = checkpoint(of_two(rooted, "variant", "root"))
-    few = mixed.where(F.col("n") <= CROWD)
-    crowd = mixed.where(F.col("n") > CROWD).drop("n").join(reach(mixed.where(F.col("n") > CROWD), texts), "fp")
-    here = Window.partitionBy("variant")
-    crowd = crowd.withColumn("low", F.min("size").over(here)).withColumn("high", F.max("most").over(here)).where("most >= low AND size <= high")
-    crowd = of_two(crowd.drop("low", "high"), "variant", "root")
-    side = lambda df, x: df.select("variant", *[F.col(c).alias(x + c) for c in df.columns if c not in ("variant", "n")])
-    other = (F.col("afp") < F.col("bfp")) & (F.col("aroot") != F.col("broot"))
-    rest = side(few, "a").join(side(few, "b"), "variant").where(other).select("afp", "bfp")
-    rest = rest.unionByName(side(crowd, "a").join(side(crowd, "b"), "variant").where(other & alike("a", "b")).select("afp", "bfp"))
-    rest = checkpoint(close(rest.select(F.col("afp").alias("a"), F.col("bfp").alias("b")).distinct()).select("a", "b"))
+    busy = mixed.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") > QUIET)
+    known = mixed.drop("n").join(reach(busy, texts), "fp", "left")
+    known = known.withColumn("low", F.min(F.coalesce("size", F.lit(0))).over(here)).withColumn("high", F.max(F.coalesce("most", F.lit((1 << 63) - 1))).over(here))
+    known = of_two(known.where("size IS NULL OR most >= low AND size <= high").drop("low", "high"), "variant", "root")
+    side = lambda x: known.select("variant", *[F.col(c).alias(x + c) for c in known.columns if c != "variant"])
+    # of two bands one bit apart, or two, that meet twice, and of equal ones, one meeting is enough
+    other = (F.col("afp") < F.col("bfp")) & (F.col("aroot") != F.col("broot")) & ((F.col("aat") < F.col("bat")) | (F.col("aat") + F.col("bat") == 0))
+    rest = side("a").join(side("b"), "variant").where(other & alike("a", "b")).select(F.col("afp").alias("a"), F.col("bfp").alias("b")).distinct()
+    rest = checkpoint(close(rest).select("a", "b"))
     edges = ties.unionByName(similar(rest, texts))
     return named(fps.select(id, "fp"), components(edges), id)
