@@ -3,8 +3,9 @@
 Equal texts are grouped (by their SHA-256 for the exchange, and by the whole text inside a group), the boundaries of
 their tokens are kept once a distinct text as an Elias-Fano list, and documents are joined back to select their two
 seeded cuts. Texts that a large share of the documents have are grouped apart: they are combined before the exchange,
-and their one index row is repeated over numbered parts among which their documents are dealt. All other texts go
-through one exchange, and their documents meet them as narrow rows.
+and their one index row is repeated over numbered parts among which their documents are dealt and joined. All other texts go
+through one exchange with their ids; there a group is a row with the list of its documents, bounded by the share that makes a
+text hot, and joining back is unfolding that list.
 
 Defined results: a null text is empty, has no token and stays plain, like every text that holds a mark of the
 template; a null id is seeded as an empty one; repeated rows are repeated results, equal ids are cut alike where their
@@ -71,19 +72,22 @@ def select(index: bytes, n: int, k: int) -> int:
     return ((byte * 8 + bit - (k - 1)) << width) | low
 
 
-def _index(texts: DataFrame) -> DataFrame:
-    """Distinct texts with ``n`` and ``cuts``: each text of (key, text) once, compared whole inside its key."""
+def _index(texts: DataFrame, *more: str) -> DataFrame:
+    """Rows of distinct (key, text) and ``more`` with ``n`` and ``cuts``."""
 
     def run(batch: list) -> list:
         ends = [boundaries(t) for t in batch]
         return [[len(e) for e in ends], [elias_fano(e) for e in ends]]
 
     fields = [T.StructField("n", T.LongType()), T.StructField("cuts", T.BinaryType())]
-    return map_texts(texts.groupBy("key", "text").agg(F.lit(1).alias("one")), "text", ("key", "text"), fields, run)
+    return map_texts(texts, "text", ("key", "text", *more), fields, run)
 
 
 def distinct_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row of ``docs`` as (doc_id, text, n, cuts), the last two computed once for each distinct text."""
+    """Every row of ``docs`` as (doc_id, text, n, cuts), the last two computed once for each distinct text.
+
+    A group is keyed by the SHA-256 of its text for the exchange and compared whole inside its key.
+    """
     text_of = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(id).alias("doc_id"), text_of.alias("text")).withColumn("key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
@@ -91,15 +95,14 @@ def distinct_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     least = max(PART_ROWS, -(-total // HOT_TEXTS))  # at most HOT_TEXTS texts have so many copies
     hot = checkpoint(counts.where(F.col("copies") >= least).select("key", F.ceil(F.col("copies") / least).cast("int").alias("parts")))
     parts = F.broadcast(hot)
-    narrow = rows.select("doc_id", "key")
-    cold = _index(rows.join(parts, "key", "left_anti").select("key", "text").repartition("key"))
-    out = cold.join(narrow.join(parts, "key", "left_anti").hint("shuffle_hash"), "key").select("doc_id", "text", "n", "cuts")
+    groups = rows.join(parts, "key", "left_anti").repartition("key").groupBy("key", "text").agg(F.collect_list(F.struct("doc_id")).alias("docs"))
+    out = _index(groups, "docs").select(F.explode("docs").alias("d"), "text", "n", "cuts").select("d.doc_id", "text", "n", "cuts")
     if hot.isEmpty():
         return out
-    index = _index(rows.join(parts, "key", "left_semi").select("key", "text")).join(parts, "key")
+    index = _index(rows.join(parts, "key", "left_semi").select("key", "text").distinct()).join(parts, "key")
     dealt = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     part = F.pmod(F.xxhash64("doc_id", "row"), F.col("parts")).cast("int")
-    mine = narrow.join(parts, "key").withColumn("row", F.monotonically_increasing_id()).select("doc_id", "key", part.alias("part"))
+    mine = rows.select("doc_id", "key").join(parts, "key").withColumn("row", F.monotonically_increasing_id()).select("doc_id", "key", part.alias("part"))
     return out.unionByName(dealt.join(mine.hint("shuffle_hash"), ["key", "part"]).select("doc_id", "text", "n", "cuts"))
 
 
