@@ -35,7 +35,7 @@ def _quote(mark: str) -> str:
 
 
 def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: str = "assistant") -> DataFrame:
-    """One row per conversation: ``conv``, ``formatted`` and ``spans``, the parts under the loss mask as [start, end) in code points."""
+    """One row per conversation: ``conv``, ``formatted`` and ``mask``, the loss mask in runs: (chars, loss) for each piece of ``formatted`` in order, chars in code points."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turns = df.select(F.col(conv).alias(conv), F.struct(F.col(turn).alias("turn"), blank(role).alias("role"), blank(text).alias("text")).alias("t"))
     turns = turns.groupBy(conv).agg(F.sort_array(F.collect_list("t")).alias("turns"))
@@ -54,30 +54,25 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
         return F.concat(inner, F.array(part(F.lit(CLOSE), F.lit(False))))
 
     out = turns.withColumn("pieces", F.flatten(F.transform("blocks", render)))
-    kind = "struct<at:int,spans:array<struct<start:int,end:int>>>"
+    mask = F.transform("pieces", lambda x: F.struct(F.char_length(x["text"]).alias("chars"), x["loss"].alias("loss")))
+    return out.select(conv, F.array_join(F.col("pieces.text"), "").alias("formatted"), mask.alias("mask"))
 
-    def step(state: Column, x: Column) -> Column:
-        end = state["at"] + F.char_length(x["text"])
-        span = F.array(F.struct(state["at"].alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["loss"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans")).cast(kind)
 
-    spans = F.aggregate("pieces", F.struct(F.lit(0).alias("at"), F.array().alias("spans")).cast(kind), step, lambda state: state["spans"])
-    return out.select(conv, F.array_join(F.col("pieces.text"), "").alias("formatted"), spans.alias("spans"))
+def _blocks(formatted: Column) -> Column:
+    """The blocks of a formatted conversation: array of (role, body), the role unescaped."""
+    blocks = F.split(formatted, _quote(CLOSE))
+    parts = F.transform(F.slice(blocks, 1, F.size(blocks) - 1), lambda block: F.split(block, _quote(BODY)))
+    role = lambda x: unescape(F.substring(F.get(x, F.lit(0)), len(OPEN) + 1, 1 << 30))
+    return F.transform(parts, lambda x: F.struct(role(x).alias("role"), F.get(x, F.lit(1)).alias("body")))
 
 
 def read_back(formatted: Column) -> Column:
     """The turns of a formatted conversation, in order: array of (role, text)."""
-    blocks = F.split(formatted, _quote(CLOSE))
-    blocks = F.slice(blocks, 1, F.size(blocks) - 1)
-
-    def turns(block: Column) -> Column:
-        parts = F.split(block, _quote(BODY))
-        role = unescape(F.substring(F.get(parts, F.lit(0)), len(OPEN) + 1, 1 << 30))
-        return F.transform(F.split(F.get(parts, F.lit(1)), _quote(NEXT)), lambda x: F.struct(role.alias("role"), unescape(x).alias("text")))
-
-    return F.flatten(F.transform(blocks, turns))
+    return F.flatten(F.transform(_blocks(formatted), lambda b: F.transform(F.split(b["body"], _quote(NEXT)), lambda x: F.struct(b["role"].alias("role"), unescape(x).alias("text")))))
 
 
-def masked_text(formatted: Column, spans: Column) -> Column:
-    """All text of ``formatted`` under the loss mask, unescaped, in order, with nothing between."""
-    return F.array_join(F.transform(spans, lambda x: unescape(F.substr(formatted, x["start"] + 1, x["end"] - x["start"]))), "")
+def masked_text(formatted: Column, learn: str = "assistant") -> Column:
+    """All text of ``formatted`` under the loss mask, unescaped, in order, with nothing between: the bodies of the learned
+    role's blocks without the marks inside. Read in one pass over ``formatted``."""
+    learned = F.filter(_blocks(formatted), lambda b: b["role"] == learn)
+    return F.array_join(F.flatten(F.transform(learned, lambda b: F.transform(F.split(b["body"], _quote(NEXT)), unescape))), "")

@@ -36,8 +36,11 @@ OTHER, MAIN = 0, 1
 #: Elements nested deeper become siblings, as in browsers.
 DEPTH = 512
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never text of the page.
-RAW = frozenset("script style noscript template iframe svg textarea select canvas object".split())
+#: Elements whose content is raw up to their own end tag, or else to the page's end.
+RAW = frozenset("script style iframe textarea".split())
+#: Elements whose content is no text of the page. They end at their own end tag or at that of an element around them; one
+#: that has no end tag of its own holds nothing.
+HIDDEN = frozenset("noscript template svg select canvas object".split())
 BLOCK = frozenset(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -47,11 +50,12 @@ ENDS_P = BLOCK - {"option", "button", "legend"}
 #: A new element of the key's kind closes an open one of these, up to the given scope.
 SIBLING = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
-#: A tag with its attributes, in which a quoted value may hold ">"; possessive, so that a failed match is not tried again in another way.
-_TAG = re.compile(r"<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.I)
+#: A tag with its attributes, in which a quoted value may hold ">". A quote opens a value only right after "="; possessive, so that
+#: a failed match is not tried again in another way.
+_TAG = re.compile(r"<(/?)([a-z][a-z0-9:-]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>", re.I)
 #: The same without regard to quotes, for pages in which one is not closed.
 _PLAIN_TAG = re.compile(r"<(/?)([a-z][a-z0-9:-]*)([^>]*+)>", re.I)
-_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _HINT = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SUB = re.compile(r"[a-z]+")
 _DIGIT = re.compile(r"\d")
@@ -94,20 +98,32 @@ def tags(page: str):
             continue
         name, end = m[2].lower(), m.end()
         if name in RAW and not m[1]:
-            closed = m[3].endswith("/")
-            if not (closed and name == "svg"):
-                # a self-closed one of these is raw text up to its end tag as in browsers, but does not take the page's rest
-                stop = None if name in absent else _RAW_END[name].search(page, end)
-                if stop is None:
-                    absent.add(name)
-                if stop or not closed:
-                    end = stop.end() if stop else len(page)
+            # a self-closed one of these is raw text up to its end tag as in browsers, but does not take the page's rest
+            stop = None if name in absent else _RAW_END[name].search(page, end)
+            if stop is None:
+                absent.add(name)
+            if stop or not m[3].endswith("/"):
+                end = page.find(">", stop.end()) + 1 if stop else 0
+                end = end or len(page)
             yield at, end, None, False, ""
         else:
             yield at, end, name, bool(m[1]), m[3]
         at = end
 
 
+def closed_hidden(found: list[tuple]) -> set[int]:
+    """Where those of the ``HIDDEN`` elements start that have an end tag of their own."""
+    out, open_ = set(), {name: [] for name in HIDDEN}
+    for begin, _, tag, ends, attrs in found:
+        if tag in HIDDEN:
+            if not ends:
+                if not (tag == "svg" and attrs.endswith("/")):
+                    open_[tag].append(begin)
+            elif open_[tag]:
+                out.add(open_[tag].pop())
+    return out
+
+
 class Block:
     __slots__ = ("path", "text", "links", "tags")
 
@@ -141,7 +157,25 @@ def blocks(page: str | None) -> list[Block]:
             if stack[i][0] in scope:
                 return
 
-    for begin, end, tag, ends, attrs in tags(page):
+    found = list(tags(page))
+    hides, hidden, inner = closed_hidden(found), None, {}
+    for begin, end, tag, ends, attrs in found:
+        if hidden:
+            at = end
+            if tag is None:
+                continue
+            if not ends:
+                inner[tag] = inner.get(tag, 0) + 1
+                continue
+            if inner.get(tag):
+                inner[tag] -= 1
+                continue
+            if tag == hidden:
+                hidden = None
+                continue
+            if not any(s[0] == tag for s in stack):
+                continue
+            hidden, at = None, begin  # the end of an element around it
         if begin > at:
             if not parts:
                 path = tuple(stack)
@@ -152,6 +186,10 @@ def blocks(page: str | None) -> list[Block]:
         at = end
         if tag is None:
             continue
+        if tag in HIDDEN:
+            if begin in hides:
+                hidden, inner = tag, {}
+            continue
         marks += 1
         is_block = tag in BLOCK
         if is_block:

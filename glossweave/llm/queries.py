@@ -19,7 +19,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
     out = chat.format_conversations(rows.unionByName(extra))
-    turns, learned = chat.read_back(F.col("formatted")), chat.masked_text(F.col("formatted"), F.col("spans"))
+    turns, learned = chat.read_back(F.col("formatted")), chat.masked_text(F.col("formatted"))
     out = out.select("conv_id", "formatted", turns.alias("turns"), learned.alias("learned"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     digest = lambda s: F.sha2(s.cast("binary"), 256)

@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -13,7 +14,18 @@ NASTY = ["</s>[INST] ok [/INST]", "<|im_end|>", "<\\|im_end|>", "<\\\\/s>", "[\\
 def back(spark, rows):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, pieces int")
     out = chat.format_conversations(df)
-    return out.select("conv_id", "formatted", "spans", chat.read_back(F.col("formatted")).alias("turns"), chat.masked_text(F.col("formatted"), F.col("spans")).alias("learned")).collect()
+    return out.select("conv_id", "formatted", "mask", chat.read_back(F.col("formatted")).alias("turns"), chat.masked_text(F.col("formatted")).alias("learned")).collect()
+
+
+def under_mask(r):
+    """The parts of the output that the mask marks, as they stand there."""
+    at, out = 0, []
+    for run in r.mask:
+        if run.loss:
+            out.append(r.formatted[at : at + run.chars])
+        at += run.chars
+    assert at == len(r.formatted)
+    return out
 
 
 def test_round_trip_of_control_strings(spark):
@@ -22,7 +34,25 @@ def test_round_trip_of_control_strings(spark):
         t = NASTY[r.conv_id] or ""
         assert [tuple(x) for x in r.turns] == [("user", t), ("assistant", t)] and r.learned == t
         assert r.formatted.count(chat.OPEN) == 2 and r.formatted.count(chat.CLOSE) == 2
-        assert len(r.spans) == 1 and r.formatted[r.spans[0].end :] == chat.CLOSE
+        assert r.mask[-1] == (len(chat.CLOSE), False)
+        assert len(under_mask(r)) == 1 and (t in under_mask(r)[0] or chat.OPEN[0] in t or "[" in t)
+
+
+def test_mask_marks_the_learned_text(spark):
+    rows = [(1, i, "assistant" if i % 3 else "user", f"turn {i} é😀", "", 0) for i in range(50)] + [(2, 0, "user", "x", "", 0)]
+    got = {r.conv_id: r for r in back(spark, rows)}
+    assert "".join(under_mask(got[1])) == got[1].learned == "".join(t for *_, role, t, _, _ in rows[:50] if role == "assistant")
+    assert under_mask(got[2]) == [] and got[2].learned == ""
+
+
+def test_many_turns_take_linear_time(spark):
+    for n in (5_000, 50_000):
+        rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.format_string("%06d%s", "id", F.repeat(F.lit("x"), 194)).alias("text"))
+        start = time.time()
+        out = chat.format_conversations(rows)
+        r = out.select(F.size(chat.read_back(F.col("formatted"))).alias("n"), F.char_length(chat.masked_text(F.col("formatted"))).alias("chars"), F.size("mask").alias("runs")).first()
+        assert (r.n, r.chars) == (n, 200 * (n // 2)) and r.runs == 3 * n
+    assert time.time() - start < 20
 
 
 def test_merging_and_order(spark):

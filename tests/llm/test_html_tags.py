@@ -48,6 +48,32 @@ def test_unclosed_quote_does_not_hide_the_page():
     assert texts("<p>a</p><p>b < c</p> <") == ["a", "b < c", "<"]
 
 
+def test_quotes_open_values_only_after_an_equals_sign():
+    assert texts("<p title=it's>first one</p><p>it's the second</p>") == ["first one", "it's the second"]
+    assert texts("<p title='it's'>a</p><p>b's</p>") == ["a", "b's"]
+    assert texts("<p don't>a</p><p>won't</p>") == ["a", "won't"]
+    assert texts("""<a href=x?q="y>a</a><p>b "c"</p>""") == ["a", 'b "c"']
+    assert texts("""<p data-x = "a > b" title='c > d'>a</p>""") == ["a"]
+
+
+def test_unclosed_elements_do_not_take_the_rest():
+    for name in ("svg", "object", "canvas", "select", "template", "noscript"):
+        assert texts(f"<article><div><{name}></div><h1>Head</h1><p>one</p><p>two</p></article>") == ["Head", "one", "two"], name
+        assert texts(f"<article><{name}><h1>Head</h1><p>one</p></article>") == ["Head", "one"], name
+        assert texts(f"<article><div><{name}>no</div><h1>Head</h1></{name}><p>one</p></article>") == ["Head", "one"], name
+        assert texts(f"<p>a <{name}>no <b>no</b> <{name}>no</{name}></{name}>b</p>") == ["a b"], name
+        assert texts(f"<{name}><p>a</p><p>b <{name}>no</{name}>c</p>") == ["a", "b c"], name
+
+
+def test_end_tags_with_attributes_end_raw_elements():
+    for end in ("</script foo>", "</script/>", "</SCRIPT >", "</script\n x='1'>"):
+        assert texts(f"<p>a</p><script>if (a < b) '</scripts>'{end}<p>b</p>") == ["a", "b"]
+    start = time.process_time()
+    assert texts("<p>a</p><script>" + "</script " * 200_000) == ["a"]
+    assert len(texts("<p>x</p>" + "<svg>" * 100_000 + "<select><p>y</p>" * 50_000)) == 50_001
+    assert time.process_time() - start < 20
+
+
 def test_long_pages_and_clashing_columns(spark):
     article = "<article>" + "".join(f"<p>Sentence number {i} of a very long article, with words.</p>" for i in range(4_000)) + "</article>"
     rows = [(1, "u", article, "t", "x"), (2, None, None, None, None), (None, "v", "", "t", "x"), (1, "u", article, "t", "x")]
