@@ -4,8 +4,8 @@ Only the histogram of piece lengths (at most as many rows as a sequence has toke
 configuration program, least total of configurations (multisets of lengths that fit a sequence) so that every length
 is covered as often as it occurs, is solved by multiplicative weights: lengths that lag behind are dear, a knapsack
 by dynamic programming prices the configurations, and all configurations that are nearly the dearest get a step. The
-prices of every round also give a lower bound on the number of sequences. The solution is rounded down, what is left is solved
-again, and the last pieces go where they fit best. Pieces, numbered within their length over a range-partitioned
+prices of every round also give a lower bound on the number of sequences. Half of the solution is taken, rounded down, and
+what is left is solved again, a few times; the last pieces go where they fit best. Pieces, numbered within their length over a range-partitioned
 order, look their sequence and place up in the plan, whose size depends on the sequence length alone.
 
 Defined results: a null text is empty and one piece of one token (the end mark); longer documents than a sequence are cut into whole
@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,11 @@ from .common import checkpoint, map_texts, ordered, small_batches
 
 #: Tokens in a sequence, and the id that ends every document (fixed by the contract).
 CAPACITY, END = 2048, 0
-#: Rounds of multiplicative weights for a histogram; how near the dearest a configuration must be; greatest step of a round, as a share of a length's count.
-ROUNDS, NEAR, STEP = 120, 0.02, 0.05
-#: Times that what rounding leaves is solved again.
-PASSES = 3
+#: Rounds of pricing for a histogram; how near the dearest a configuration must be; greatest step of an update, as a share of a length's
+#: count; updates of the weights a round.
+ROUNDS, NEAR, STEP, TURNS = 25, 0.1, 0.2, 60
+#: Times that the program is solved for what is left, and the share of a solution that is taken each time but the last.
+PASSES, SHARE = 8, 0.5
 
 
 class Coder:
@@ -146,30 +148,55 @@ def _fill(lengths: np.ndarray, last: np.ndarray, first: np.ndarray, capacity: in
         room = np.where(item >= 0, room - lengths[item], 0)
 
 
+class Columns:
+    """Configurations as flat arrays: for each its items and their copies, sorted by configuration."""
+
+    def __init__(self, items: int):
+        self.items, self.known = items, {}
+        self.row, self.own, self.copies = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, found: np.ndarray) -> None:
+        """Add rows of item places (-1: none) that are not there yet."""
+        new = [c for c in (tuple(i for i in held if i >= 0) for held in np.sort(found, 1).tolist()) if c not in self.known]
+        for c in dict.fromkeys(new):
+            self.known[c] = len(self.known)
+            own, copies = np.unique(c, return_counts=True)
+            self.row = np.concatenate([self.row, np.full(len(own), self.known[c])])
+            self.own, self.copies = np.concatenate([self.own, own]), np.concatenate([self.copies, copies])
+
+
 def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict[tuple, float], float]:
     """The configuration program by multiplicative weights: amounts of configurations (tuples of item places, rising) that cover
-    the counts about once, and a lower bound on the number of sequences."""
-    covered, amount, bound = np.zeros(len(lengths)), defaultdict(float), counts @ lengths / capacity
-    rate = np.log(len(lengths) + 1) / STEP / 4
-    for _ in range(rounds):
+    the counts about once, and a lower bound on the number of sequences.
+
+    A round prices by the knapsack and adds for each length the dearest configuration that holds it, if that is nearly the dearest of all; then the weights are updated
+    ``TURNS`` times over the configurations known so far.
+    """
+    columns, bound = Columns(len(lengths)), counts @ lengths / capacity
+    covered, amount = np.zeros(len(lengths)), np.zeros(0)
+    for turn in range(rounds):
+        step = max(STEP / (1 + turn / 8), STEP / 10)
+        rate = 0.5 / step
         price = np.exp(-rate * (covered - covered.min())) / counts
         value, last = knapsack(lengths, price, capacity)
         bound = max(bound, counts @ price / value[-1])
         holds = price + value[capacity - lengths]
-        chosen = np.flatnonzero(holds >= (1 - NEAR) * value[-1])
-        items = np.sort(_fill(lengths, last, chosen, capacity), 1)
-        items = np.unique(items, axis=0)
-        row, at = np.nonzero(items >= 0)
-        held, copies = np.unique(row * len(lengths) + items[row, at], return_counts=True)
-        row, own = held // len(lengths), held % len(lengths)
-        weights = np.minimum.reduceat(counts[own] / copies, np.flatnonzero(np.diff(row, prepend=-1)))
-        use = np.bincount(own, weights[row] * copies, len(lengths))
-        scale = STEP / (use / counts).max()
-        for held, w in zip(items.tolist(), (scale * weights).tolist()):
-            amount[tuple(i for i in held if i >= 0)] += w
-        covered += scale * use / counts
+        near = NEAR if turn else 1.0
+        columns.add(_fill(lengths, last, np.flatnonzero(holds >= (1 - near) * value[-1]), capacity))
+        amount = np.concatenate([amount, np.zeros(len(columns.known) - len(amount))])
+        row, own, copies = columns.row, columns.own, columns.copies
+        starts = np.flatnonzero(np.diff(row, prepend=-1))
+        most = np.minimum.reduceat(counts[own] / copies, starts)
+        for _ in range(TURNS):
+            worth = np.add.reduceat(price[own] * copies, starts)
+            weight = np.where(worth >= (1 - NEAR) * worth.max(), most, 0.0)
+            use = np.bincount(own, weight[row] * copies, len(lengths)) / counts
+            scale = step / use.max()
+            amount += scale * weight
+            covered += scale * use
+            price = np.exp(-rate * (covered - covered.min())) / counts
     level = covered.mean()
-    return {c: a / level for c, a in amount.items()}, float(bound)
+    return {c: float(amount[k] / level) for c, k in columns.known.items() if amount[k] > 0}, float(bound)
 
 
 def _best_fit(counts: dict[int, int], capacity: int) -> Counter:
@@ -204,6 +231,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[Counter,
     """How often each sequence content (lengths, longest first) is used, and the lower bound on their number."""
     left, out, bound = {k: n for k, n in histogram.items() if n}, Counter(), 0.0
     for turn in range(PASSES):
+        share = SHARE if turn < PASSES - 1 else 1.0
         if not left:
             break
         lengths = np.array(sorted(left))
@@ -213,7 +241,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[Counter,
         used = 0
         for c in sorted(amounts, key=lambda c: (-fill(c), -amounts[c], c)):
             copies = Counter(lengths[list(c)].tolist())
-            many = min([int(amounts[c]), *(left[k] // n for k, n in copies.items())])
+            many = min([int(amounts[c] * share), *(left[k] // n for k, n in copies.items())])
             if many:
                 out[tuple(sorted(lengths[list(c)].tolist(), reverse=True))] += many
                 used += many
@@ -272,7 +300,7 @@ def sequences(docs: DataFrame, placed: DataFrame, coder: Coder, id: str = "doc_i
     """The packed sequences themselves: (sequence_id, tokens, ids), ids as binary. Ids of documents must be unique for this."""
     shared, end = docs.sparkSession.sparkContext.broadcast(coder), np.array([END], "<u4").tobytes()
 
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
             yield pa.array([_cut(shared.value.encode(t) + end, capacity) for t in b.to_pylist()], pa.list_(pa.binary()))
 
