@@ -196,7 +196,7 @@ def is_plain_phrase(c: Column) -> Column:
 
 def is_pass_through(c: Column) -> Column:
     """Tokens that stay as they are: a dash, a number, one capital, a Roman numeral."""
-    return blank(c).rlike(r"^(-|\p{Nd}+|\p{Lu}|[IVXLCDM]+)$")
+    return blank(c).rlike(r"^(-|\p{Nd}+|\p{Lu}|I{1,3}|IV|V|VI{1,3}|IX|X{1,3})$")
 
 
 def tags(c: Column) -> Column:

@@ -83,64 +83,3 @@ def plausible(word: Column, kana: Column) -> Column:
     guess = transliterate(word)
     alike = F.lit(1.0) - F.levenshtein(guess, kana) / F.greatest(F.char_length(guess), F.char_length(kana))
     return (kana != "") & allowed.contains(F.substring(kana, 1, 1)) & (letters > 0) & ratio.between(MIN_LENGTH_RATIO, MAX_LENGTH_RATIO) & (alike >= MIN_SIMILARITY)
-
-
-def decompose(word: str, pieces: dict[str, str], least: int = 3) -> str | None:
-    """A word as a sequence of known pieces, the longest first piece that leaves a solvable rest; or None."""
-    w = word.lower()
-    best: list[str | None] = [None] * len(w) + [""]
-    for i in range(len(w) - least, -1, -1):
-        for j in range(len(w), i + least - 1, -1):
-            if best[j] is not None and w[i:j] in pieces:
-                best[i] = pieces[w[i:j]] + best[j]
-                break
-    return best[0] or None
-
-
-NEGATIONS = {"no": "なし", "non": "非", "not": "非"}
-
-
-def name_chain(name: str, known: dict[str, str], particles: dict[str, str] | None = None) -> tuple[str | None, list[str]]:
-    """A whole name from known phrases: (Japanese or None, unresolved words).
-
-    A bracketed prefix stays in front, "X of Y" turns round with の, the longest known phrase wins, plural,
-    possessive and hyphenated words fall back to their parts, and numbers and Roman numerals stay.
-    """
-    prefix = re.match(r"^\s*(\[[^\]]*\])\s*(.*)$", name)
-    lead, body = (prefix[1], prefix[2]) if prefix else ("", name)
-    halves = re.split(r"\s+of\s+(?:the\s+|an?\s+)?", body, maxsplit=1, flags=re.I)
-    missing: list[str] = []
-
-    def one(w: str) -> str | None:
-        low = w.lower()
-        for form in (low, low.removesuffix("'s"), low.removesuffix("es"), low.removesuffix("s")):
-            if form in known:
-                return known[form]
-        if re.fullmatch(r"-|\d+|[A-Z]|[IVXLCDM]+", w):
-            return w
-        if low in NEGATIONS:
-            return NEGATIONS[low]
-        if "-" in w and all(p.lower() in known for p in w.split("-") if p):
-            return "・".join(known[p.lower()] for p in w.split("-") if p)
-        return None
-
-    def side(text: str) -> str:
-        w, out, i = text.split(), [], 0
-        while i < len(w):
-            for j in range(len(w), i + 1, -1):
-                if (phrase := " ".join(w[i:j]).lower()) in known:
-                    out.append(known[phrase])
-                    break
-            else:
-                j = i + 1
-                if (found := one(w[i])) is None:
-                    missing.append(w[i])
-                else:
-                    out.append(found)
-            i = j
-        return "".join(out)
-
-    parts = [side(h) for h in halves]
-    if missing or not any(parts):
-        return None, missing
-    return lead + "の".join(reversed(parts)), []

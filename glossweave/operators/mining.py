@@ -10,7 +10,7 @@ from ..functions import udfs
 from .overlay import first_by
 
 # --- Fixed values ---------------------------------------------------------------------------
-MIN_TOGETHER, MIN_DICE = 2, 0.3
+MIN_TOGETHER, MIN_DICE = 2, 0.45
 WITNESS_CHARS, WITNESS_RUNS = 150, 2
 HEAD_SUPPORT, MODIFIER_HEADS = 3, 2
 # ----------------------------------------------------------------------------------------------
@@ -94,38 +94,6 @@ def compose(records: DataFrame, text: str, head_lexicon: DataFrame, modifier_lex
     return df.withColumn("meaning", found).drop("_s", "_h", "_m", "_hr", "_mr", "_mt", "_tr", "_tt")
 
 
-def induce(corpus: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """Word-to-katakana dictionary by fixed point. An entry whose Japanese has as many ・ segments as the English has
-    words gives its one unknown word the segment left over; the least row decides between proposals of a round; rounds go on
-    until nothing is added; ``rounds`` without an end are an error. All proposals of a round see the same dictionary, so they do not depend on row order within it.
-
-    corpus: row_id, english, japanese; seeds: word, kana. The dictionary is checkpointed each round.
-    """
-    from ..plans.session import checkpoint
-
-    parts = corpus.select("row_id", F.split(F.lower(X.trim(F.col("english"))), " ").alias("w"), F.split("japanese", "・").alias("k"))
-    parts = parts.where((F.size("w") == F.size("k")) & (F.size("w") >= 2)).where(F.forall("k", lambda x: x.rlike(f"^{RUN}$")))
-    parts = parts.select("row_id", F.posexplode(F.arrays_zip("w", "k"))).select("row_id", F.col("col.w").alias("word"), F.col("col.k").alias("kana"))
-    known = checkpoint(seeds.select("word", "kana").dropDuplicates(["word"]))
-    n = known.count()
-    for _ in range(rounds):
-        seen = parts.join(known.select("word", F.col("kana").alias("have")), "word", "left")
-        state = seen.groupBy("row_id").agg(F.count_if(F.col("have").isNull()).alias("open"), F.bool_and(F.col("have").isNull() | (F.col("have") == F.col("kana"))).alias("agrees"))
-        ready = seen.join(state.where("open = 1 and agrees"), "row_id").where("have is null")
-        new = ready.groupBy("word").agg(F.min_by("kana", "row_id").alias("kana"))
-        known = checkpoint(known.unionByName(new))
-        if (m := known.count()) == n:
-            return known
-        n = m
-    raise RuntimeError(f"the dictionary still grew after {rounds} rounds")
-
-
-def prune_lower_case(dictionary: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Drop words that running text uses in lower case: they are words, not names."""
-    used = corpus.select(F.explode(F.regexp_extract_all("english", F.lit("(?<![A-Za-z])[a-z]+"), 0)).alias("word")).distinct()
-    return dictionary.join(used, "word", "left_anti")
-
-
 def official(dictionary: DataFrame, corpus: DataFrame, english: str = "english", japanese: str = "japanese") -> DataFrame:
     """Pairs that stand verbatim in the corpus, with where they stand."""
     c = corpus.select(F.lower(X.trim(F.col(english))).alias("word"), F.col(japanese).alias("kana"), "source")

@@ -3,13 +3,11 @@ letter map of the English, so that alignment has something to find."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as X
 from ..functions import udfs
-from ..operators import batch, cascade, corpus, mining, phrases, retrieval
+from ..operators import batch, cascade, corpus, induction, mining, names, phrases, retrieval, spelling
 from .q_text import TOKENS
 from .registry import query, table
 
@@ -37,33 +35,27 @@ def x13(spark, d):
 
 
 SIM = f"""{IDF}, p AS (SELECT id, token, idf FROM t JOIN idf USING (token)), nrm AS (SELECT id, sqrt(sum(idf * idf)) AS norm FROM p GROUP BY 1),
- q AS (SELECT item_id AS query, text FROM benchmark WHERE item_id % 10 = 0), qt AS (SELECT query, token, idf FROM (SELECT query, unnest({TOKENS}) AS token FROM q) JOIN idf USING (token)),
- qn AS (SELECT query, sqrt(sum(idf * idf)) AS qnorm FROM qt GROUP BY 1),
- dot AS (SELECT query, p.id, sum(p.idf * qt.idf) AS dot FROM qt JOIN p ON p.token = qt.token WHERE p.id IN (SELECT id FROM docs WHERE length(text) <= 2000) GROUP BY ALL),
- sim AS (SELECT query, id, dot / (norm * qnorm) AS score FROM dot JOIN nrm USING (id) JOIN qn USING (query))"""
-
-
-def sim(spark, d):
-    b = bench(spark, d)
-    return retrieval.similar(b.where("id % 10 = 0"), b, "id", "text", "id", "text", 2000)
+ dot AS (SELECT q.id AS query, p.id, sum(p.idf * q.idf) AS dot FROM p q JOIN p ON p.token = q.token WHERE p.id IN (SELECT id FROM docs WHERE length(text) <= 500) GROUP BY ALL),
+ sim AS (SELECT query, d.id, dot / (n.norm * qn.norm) AS score FROM dot d JOIN nrm n ON n.id = d.id JOIN nrm qn ON qn.id = query)"""
+KIND = "CASE {c} % 3 WHEN 0 THEN 'WEAP FULL' WHEN 1 THEN 'WEAP DESC' ELSE 'ARMO FULL' END"
+QK, IK = KIND.format(c="query"), KIND.format(c="id")
+BOOST = f"boost AS (SELECT query, id, score + CASE WHEN query % 4 = id % 4 THEN 0.06 ELSE 0.0 END + CASE WHEN {QK} = {IK} THEN 0.04 WHEN split_part({QK}, ' ', 1) = split_part({IK}, ' ', 1) THEN 0.02 ELSE 0.0 END AS score FROM sim)"
+NEAR = "SELECT query, id, round(score, 6) AS score FROM (SELECT *, max(score) OVER (PARTITION BY query) AS best FROM {}) WHERE score >= 0.4 * best"
 
 
-@query("x14_cosine", f"WITH {SIM} SELECT query, id, round(score, 6) AS score FROM sim")
+@query("x14_cosine", f"WITH {SIM} " + NEAR.format("sim"))
 def x14(spark, d):
-    return sim(spark, d).select("query", "id", F.round("score", 6).alias("score"))
+    b = bench(spark, d)
+    return retrieval.similar(b, b, "id", "text", "id", "text").select("query", "id", F.round("score", 6).alias("score"))
 
 
 def boosted(spark, d):
-    kind = lambda c: F.expr(f"CASE {c} % 3 WHEN 0 THEN 'WEAP FULL' WHEN 1 THEN 'WEAP DESC' ELSE 'ARMO FULL' END")
-    return sim(spark, d).withColumn("score", F.col("score") + retrieval.bonus(F.col("query") % 4 == F.col("id") % 4, kind("query"), kind("id")))
+    b = bench(spark, d).withColumn("plugin", F.col("id") % 4).withColumn("kind", F.expr(KIND.format(c="id")))
+    extra = retrieval.bonus(F.col("q_plugin") == F.col("e_plugin"), F.col("q_kind"), F.col("e_kind"))
+    return retrieval.similar(b, b, "id", "text", "id", "text", extra=extra, most=retrieval.BONUS_PLUGIN + retrieval.BONUS_TYPE, more=("plugin", "kind"))
 
 
-KIND = "CASE {c} % 3 WHEN 0 THEN 'WEAP FULL' WHEN 1 THEN 'WEAP DESC' ELSE 'ARMO FULL' END"
-QK, IK = KIND.format(c="query"), KIND.format(c="id")
-BOOST = f"boost AS (SELECT query, id, score + CASE WHEN query % 4 = id % 4 THEN 0.06 ELSE 0.0 END + CASE WHEN {QK} = {IK} THEN 0.04 WHEN split_part({QK}, ' ', 1) = split_part({IK}, ' ', 1) THEN 0.02 ELSE 0.0 END AS score FROM sim)"
-
-
-@query("x15_affinity_bonus", f"WITH {SIM}, {BOOST} SELECT query, id, round(score, 6) AS score FROM boost")
+@query("x15_affinity_bonus", f"WITH {SIM}, {BOOST} " + NEAR.format("boost"))
 def x15(spark, d):
     return boosted(spark, d).select("query", "id", F.round("score", 6).alias("score"))
 
@@ -76,10 +68,20 @@ def m09(spark, d):
     return retrieval.cut(boosted(spark, d), 10).select("query", "id", "rank")
 
 
-@query("m10_same_mod_hints", f"WITH {SIM}, pool AS (SELECT id, max(score) AS score FROM sim WHERE id % 10 <> 0 GROUP BY 1), b AS (SELECT id, score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank, score >= 0.4 * max(score) OVER () AS ok FROM pool) SELECT id, rank FROM b WHERE ok AND rank <= 10")
+HINTS = f"""WITH docs AS (SELECT item_id AS id, item_id // 10 % 4 AS grp, item_id % 2 AS done, text FROM benchmark), t AS (SELECT id, grp, done, unnest({TOKENS}) AS token FROM docs),
+ n AS (SELECT grp, count(*) AS n FROM docs WHERE done = 1 GROUP BY 1), idf AS (SELECT grp, token, ln(n::DOUBLE / (df + 1)) + 1 AS idf FROM (SELECT grp, token, count(*) AS df FROM t WHERE done = 1 GROUP BY ALL) JOIN n USING (grp)),
+ v AS (SELECT t.*, coalesce(idf, ln(n::DOUBLE) + 1) AS w FROM t JOIN n USING (grp) LEFT JOIN idf USING (grp, token)), nrm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM v GROUP BY 1),
+ dot AS (SELECT grp, q.id AS query, p.id, sum(p.w * q.w) AS dot FROM v q JOIN v p USING (grp, token) WHERE q.done = 0 AND p.done = 1 GROUP BY ALL),
+ sim AS (SELECT grp, d.id, dot / (n.norm * qn.norm) AS score FROM dot d JOIN nrm n ON n.id = d.id JOIN nrm qn ON qn.id = query),
+ pool AS (SELECT grp, id, max(score) AS score FROM sim GROUP BY ALL),
+ b AS (SELECT grp, id, row_number() OVER (PARTITION BY grp ORDER BY round(score, 9) DESC, id % 3, id) AS rank, score >= 0.4 * max(score) OVER (PARTITION BY grp) AS ok FROM pool)
+ SELECT grp, id, rank FROM b WHERE ok AND rank <= 10"""
+
+
+@query("m10_same_mod_hints", HINTS)
 def m10(spark, d):
-    pool = retrieval.hint_pool(sim(spark, d).where("id % 10 <> 0")).withColumn("query", F.lit(1))
-    return retrieval.cut(pool, 10).select("id", "rank")
+    b = bench(spark, d).withColumn("grp", F.expr("id div 10 % 4"))
+    return retrieval.same_mod_hints(b.where("id % 2 = 0"), b.where("id % 2 = 1").withColumn("trust", F.col("id") % 3), "id", "text", "grp", 10, tie=("trust", "id")).select("grp", "id", "rank")
 
 
 @query("o04_latest_import_first", "SELECT event_type, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS event_id FROM events GROUP BY 1")
@@ -129,21 +131,20 @@ def w13(spark, d):
     return phrases.key_phrases(key_scores(spark, d), "grp").select("grp", "gram", F.round("score", 6).alias("score"))
 
 
-def bilingual(spark, d, where: str = "p_partkey % 3 <> 0"):
-    p = table(spark, d, "part").where(where)
-    return p.select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("english"), X.to_kana(F.col("p_name")).alias("japanese"), (F.col("p_size") % 3).alias("tier"))
+def bilingual(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("english"), X.to_kana(F.col("p_name")).alias("japanese"), (F.col("p_size") % 3).alias("tier"))
 
 
 KANA = "translate(lower({}), 'abcdefghijklmnopqrstuvwxyz ', 'アブクデエフグヒイジケルムノオパキラストウヴワズヤゼ・')"
-PAIRS = f"""c AS (SELECT p_partkey AS id, list_distinct(string_split(p_name, ' ')) AS ws, list_distinct(string_split({KANA.format('p_name')}, '・')) AS rs FROM part WHERE p_partkey % 3 <> 0),
+PAIRS = f"""c AS (SELECT p_partkey AS id, list_distinct(string_split(p_name, ' ')) AS ws, list_distinct(string_split({KANA.format('p_name')}, '・')) AS rs FROM part),
  wn AS (SELECT word, count(*) AS word_n FROM (SELECT unnest(ws) AS word FROM c) GROUP BY 1), rn AS (SELECT run, count(*) AS run_n FROM (SELECT unnest(rs) AS run FROM c) GROUP BY 1),
  tg AS (SELECT word, run, count(*) AS together FROM (SELECT word, unnest(rs) AS run FROM (SELECT unnest(ws) AS word, rs FROM c)) GROUP BY ALL),
  dc AS (SELECT word, run, together, word_n, run_n, 2.0::DOUBLE * together / (word_n + run_n) AS dice FROM tg JOIN wn USING (word) JOIN rn USING (run))"""
 
 
-def split_bilingual(spark, d, *where: str):
+def split_bilingual(spark, d):
     """Words separated by spaces on both sides, so that a run is a word's kana."""
-    return bilingual(spark, d, *where).withColumn("japanese", F.replace("japanese", F.lit("・"), F.lit(" ")))
+    return bilingual(spark, d).withColumn("japanese", F.replace("japanese", F.lit("・"), F.lit(" ")))
 
 
 @query("a10_co_occurrence", f"WITH {PAIRS} SELECT word, run, together, word_n, run_n, round(dice, 6) AS dice FROM dc")
@@ -151,7 +152,7 @@ def a10(spark, d):
     return mining.co_occurrence(mining.pair_words(split_bilingual(spark, d))).select("word", "run", "together", "word_n", "run_n", F.round("dice", 6).alias("dice"))
 
 
-BEST = PAIRS + ", b1 AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY round(dice, 12) DESC, word) AS k FROM dc WHERE together >= 2), b2 AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY round(dice, 12) DESC, run) AS k2 FROM b1 WHERE k = 1 AND dice >= 0.3), best AS (SELECT word, run FROM b2 WHERE k2 = 1)"
+BEST = PAIRS + ", b1 AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY round(dice, 12) DESC, word) AS k FROM dc WHERE together >= 2), b2 AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY round(dice, 12) DESC, run) AS k2 FROM b1 WHERE k = 1 AND dice >= 0.45), best AS (SELECT word, run FROM b2 WHERE k2 = 1)"
 
 
 @query("w11_best_dice", f"WITH {BEST} SELECT word, run FROM best")
@@ -167,17 +168,17 @@ def j18(spark, d):
 
 @query("f19_m02_sentence_alignment")
 def m02(spark, d):
-    return mining.align(split_bilingual(spark, d, "true"))
+    return mining.align(split_bilingual(spark, d))
 
 
 def compound(spark, d):
     """Modifier in kanji stand-ins, then の, then the head's kana: a shape with a trailing katakana run."""
     head, mod = F.split_part("p_name", F.lit(" "), F.lit(2)), F.split_part("p_name", F.lit(" "), F.lit(1))
     ja = F.concat(F.translate(mod, "abcdefghijklmnopqrstuvwxyz", "亜部区出絵負具飛位地毛留無野尾羽木良酢戸宇得輪図矢是"), F.lit("の"), X.to_kana(head))
-    return table(spark, d, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("english"), ja.alias("japanese"), (F.col("p_size") % 3).alias("tier"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("english"), ja.alias("japanese"), (F.col("p_size") % 3).alias("tier"))
 
 
-HEADS = f"""h AS (SELECT head, min(kana) AS reading, count(DISTINCT m) AS votes, min(t) AS tier FROM (SELECT split_part(p_name, ' ', 2) AS head, split_part(p_name, ' ', 1) AS m, {KANA.format("split_part(p_name, ' ', 2)")} AS kana, p_size % 3 AS t FROM part WHERE p_partkey % 3 <> 0) GROUP BY 1 HAVING count(DISTINCT m) >= 3)"""
+HEADS = f"""h AS (SELECT head, min(kana) AS reading, count(DISTINCT m) AS votes, min(t) AS tier FROM (SELECT split_part(p_name, ' ', 2) AS head, split_part(p_name, ' ', 1) AS m, {KANA.format("split_part(p_name, ' ', 2)")} AS kana, p_size % 3 AS t FROM part) GROUP BY 1 HAVING count(DISTINCT m) >= 3)"""
 
 
 @query("a11_head_lexicon", f"WITH {HEADS} SELECT head, reading, votes, tier FROM h WHERE length(reading) >= 2")
@@ -185,7 +186,7 @@ def a11(spark, d):
     return mining.heads(compound(spark, d)).select("head", "reading", "votes", "tier")
 
 
-MODS = HEADS + ", m AS (SELECT m AS modifier, translate(m, 'abcdefghijklmnopqrstuvwxyz', '亜部区出絵負具飛位地毛留無野尾羽木良酢戸宇得輪図矢是') AS rendering, min(t) AS tier FROM (SELECT split_part(p_name, ' ', 2) AS head, split_part(p_name, ' ', 1) AS m, p_size % 3 AS t FROM part WHERE p_partkey % 3 <> 0) JOIN h USING (head) GROUP BY 1, 2 HAVING count(DISTINCT head) >= 2)"
+MODS = HEADS + ", m AS (SELECT m AS modifier, translate(m, 'abcdefghijklmnopqrstuvwxyz', '亜部区出絵負具飛位地毛留無野尾羽木良酢戸宇得輪図矢是') AS rendering, min(t) AS tier FROM (SELECT split_part(p_name, ' ', 2) AS head, split_part(p_name, ' ', 1) AS m, p_size % 3 AS t FROM part) JOIN h USING (head) GROUP BY 1, 2 HAVING count(DISTINCT head) >= 2)"
 
 
 @query("a12_m03_modifier_lexicon", f"WITH {MODS} SELECT modifier, rendering, tier FROM m")
@@ -194,51 +195,118 @@ def a12(spark, d):
     return mining.modifiers(c, mining.heads(c)).select("modifier", "rendering", "tier")
 
 
-@query("m04_meaning_composition", f"WITH {MODS} SELECT p_partkey, rendering || 'の' || reading AS japanese FROM part LEFT JOIN h ON head = split_part(p_name, ' ', 2) LEFT JOIN m ON modifier = split_part(p_name, ' ', 1)")
+SPELLED = f"sp AS (SELECT lower(p_type) AS word, {KANA.format('p_type')} AS kana, min(p_size % 2) AS tier FROM part GROUP BY ALL)"
+
+
+def spelled_types(spark, d):
+    """Types of parts as words that only their spelling translates."""
+    return table(spark, d, "part").groupBy(F.lower("p_type").alias("word"), X.to_kana(F.col("p_type")).alias("kana")).agg(F.min(F.col("p_size") % 2).alias("tier"))
+
+
+@query("m04_meaning_composition", f"""WITH {MODS}, {SPELLED}, x AS (SELECT p_partkey, split_part(p_name, ' ', 2) AS head, CASE WHEN p_size % 2 = 0 THEN split_part(p_name, ' ', 1) ELSE lower(p_type) END AS modifier FROM part)
+ SELECT p_partkey, coalesce(m.rendering, kana) || 'の' || reading AS japanese, CASE WHEN coalesce(m.rendering, kana) || reading IS NULL THEN NULL WHEN m.rendering IS NOT NULL THEN 'SJPTS_AutoCorpusMeaning' ELSE 'SJPTS_AutoCorpusMeaningTranslit' END AS method
+ FROM x LEFT JOIN h USING (head) LEFT JOIN m ON m.modifier = x.modifier LEFT JOIN sp ON sp.word = x.modifier""")
 def m04(spark, d):
     c = compound(spark, d)
     h = mining.heads(c)
-    spell = spark.createDataFrame([], "word string, kana string, tier int")
-    return mining.compose(table(spark, d, "part"), "p_name", h, mining.modifiers(c, h), spell).select("p_partkey", "meaning.japanese")
+    p = table(spark, d, "part").withColumn("t", F.expr("CASE WHEN p_size % 2 = 0 THEN p_name ELSE lower(p_type) || ' ' || split_part(p_name, ' ', 2) END"))
+    return mining.compose(p, "t", h, mining.modifiers(c, h), spelled_types(spark, d)).select("p_partkey", "meaning.japanese", "meaning.method")
 
 
-@query("m01_dictionary_induction")
+def named(spark, d):
+    """Names of parts with their readings, and running text that uses the first words of some in lower case."""
+    c = bilingual(spark, d)
+    names = c.select("row_id", F.initcap("english").alias("english"), "japanese")
+    running = c.where("english < 'd'").select((F.col("row_id") + 1_000_000_000_000).alias("row_id"), F.concat(F.lit("Keep it "), F.split_part("english", F.lit(" "), F.lit(1))).alias("english"), F.lit("話").alias("japanese"))
+    return names.unionByName(running)
+
+
+# A row teaches the words that no earlier row has; only where it is the first to have either of its two words is it taken whole.
+@query("m01_dictionary_induction", f"""WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part), first AS (SELECT word, min(p_partkey) AS row FROM (SELECT p_partkey, unnest(w) AS word FROM w) GROUP BY 1),
+ whole AS (SELECT array_to_string(w, ' ') AS word FROM w JOIN first a ON a.word = w[1] JOIN first b ON b.word = w[2] WHERE a.row = p_partkey AND b.row = p_partkey),
+ small AS (SELECT DISTINCT w[1] AS word FROM w WHERE w[1] < 'd')
+ SELECT word, {KANA.format('word')} AS kana FROM (SELECT word FROM first UNION SELECT word FROM whole) WHERE word NOT IN (SELECT word FROM small)""")
 def m01(spark, d):
-    c = bilingual(spark, d, "true").withColumn("english", F.initcap("english"))  # names, not running text in lower case
-    seeds = c.select(F.lower(F.split_part("english", F.lit(" "), F.lit(2))).alias("word"), F.split_part("japanese", F.lit("・"), F.lit(2)).alias("kana")).where("word = 'ring'").distinct()
-    return mining.prune_lower_case(mining.induce(c, seeds), c)
+    return induction.induce(named(spark, d)).select("word", "kana")
 
 
-@query("m05_m06_decomposition")
-def m05(spark, d):
-    pieces = {"ring": "リング", "red": "レッド", "small": "スモール", "gear": "ギア", "blue": "ブルー"}
-    names = table(spark, d, "part").select(F.regexp_replace("p_name", " ", "").alias("word")).distinct()
-    split = pandas_udf(lambda s: s.map(lambda w: udfs.decompose(w, pieces)), "string")
-    return names.withColumn("kana", split("word"))
+def known_pieces(spark, d):
+    """The words of part names as pieces; words of five letters or more may stand alone."""
+    w = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    return w.select("word", X.to_kana(F.col("word")).alias("kana"), F.lit("part").alias("source"), (F.char_length("word") >= 5).alias("alone"))
 
 
-@query("m07_name_chain")
-def m07(spark, d):
-    known = {"ring": "指輪", "red": "赤い", "small": "小さな", "widget": "部品"}
+@query("m05_m06_decomposition", f"""WITH n AS (SELECT DISTINCT p_name, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_size % 3 AS k FROM part),
+ t AS (SELECT k, a, b, CASE k WHEN 0 THEN a || b WHEN 1 THEN upper(a[1]) || a[2:] || ' ' || upper(b[1]) || b[2:] || a ELSE a || 'qqx' END AS name FROM n),
+ r AS (SELECT name, CASE k WHEN 0 THEN {KANA.format('a')} || {KANA.format('b')} WHEN 1 THEN {KANA.format('a')} || '・' || {KANA.format('b')} || {KANA.format('a')} END AS japanese, k, a FROM t)
+ SELECT DISTINCT name, japanese FROM r WHERE k = 0 OR k = 1 AND length(a) >= 5""")
+def m05(spark, d):
+    a, b = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    name = F.when(F.col("p_size") % 3 == 0, F.concat(a, b)).when(F.col("p_size") % 3 == 1, F.concat(F.initcap(a), F.lit(" "), F.initcap(b), a)).otherwise(F.concat(a, F.lit("qqx")))
+    return spelling.transliterate(table(spark, d, "part").select(name.alias("name")), known_pieces(spark, d)).select("name", "japanese")
 
-    @pandas_udf("struct<japanese: string, missing: array<string>>")
-    def chain(names: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([udfs.name_chain(n, known) for n in names], columns=["japanese", "missing"])
 
-    return table(spark, d, "part").select("p_name").distinct().withColumn("r", chain("p_name")).select("p_name", "r.japanese", F.array_join("r.missing", " ").alias("missing"))
+CHAIN_WORDS = {"name": "CASE p_size % 5 WHEN 0 THEN '[T] ' || A || ' ' || B WHEN 1 THEN B || ' of the ' || A WHEN 2 THEN A || ' and ' || B || 's' WHEN 3 THEN B || ' No ' || A ELSE A || '-' || B || ' Qux' END"}
 
 
-@query("m08_resolution_cascade", """WITH e AS (SELECT p_name AS key, arg_min(p_brand, struct_pack(t := CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, r := p_partkey)) AS ja, arg_min(p_size % 4, struct_pack(t := CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, r := p_partkey)) AS k FROM part WHERE p_partkey % 11 = 0 GROUP BY 1)
- SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'kept' WHEN p_partkey % 5 = 0 THEN '既' WHEN ja IS NOT NULL THEN ja ELSE '' END AS japanese,
- CASE WHEN p_partkey % 7 = 0 THEN 'SJPTS_ModifiedByUser' WHEN p_partkey % 5 = 0 THEN 'SJPTS_AutoCorpusDsd' WHEN ja IS NOT NULL THEN CASE k WHEN 0 THEN 'SJPTS_AutoCorpus' WHEN 1 THEN 'SJPTS_AutoCorpusReferenceTaiyaku' WHEN 2 THEN 'SJPTS_AutoCorpusDsd' ELSE 'SJPTS_AutoCorpusImported' END ELSE '' END AS method FROM part LEFT JOIN e ON key = p_name""")
+@query("m07_name_chain", f"""WITH p AS (SELECT p_size, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part), q AS (SELECT *, upper(a[1]) || a[2:] AS A_, upper(b[1]) || b[2:] AS B_ FROM p),
+ t AS (SELECT DISTINCT p_size % 5 AS k, {KANA.format('a')} AS x, {KANA.format('b')} AS y, {CHAIN_WORDS['name'].replace('A ||', 'A_ ||').replace('|| A ', '|| A_ ').replace('|| A)', '|| A_)').replace("B ||", "B_ ||").replace("|| B ", "|| B_ ")} AS name FROM q)
+ SELECT name, CASE k WHEN 0 THEN '[T] ' || x || 'の' || y WHEN 1 THEN x || 'の' || y WHEN 2 THEN x || 'と' || y WHEN 3 THEN y || ' （' || x || 'なし）' END AS japanese, CASE k WHEN 4 THEN 'Qux' ELSE '' END AS missing FROM t""")
+def m07(spark, d):
+    p = table(spark, d, "part").select("p_size", F.initcap(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("A"), F.initcap(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("B"))
+    w = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct().select("word", X.to_kana(F.col("word")).alias("japanese"), F.lit("part").alias("source"))
+    early = F.col("word") < "m"
+    words = names.lexicon(exact=w.where(early), glossary=w.where(~early))
+    out = names.translate(p.select(F.expr(CHAIN_WORDS["name"]).alias("name")), words)
+    return out.select("name", "japanese", F.array_join("missing", " ").alias("missing"))
+
+
+CASE_TEXT = """CASE p_size % 5 WHEN 0 THEN p_name || ' ' || p_brand WHEN 1 THEN p_name WHEN 2 THEN replace(p_name, ' ', '') WHEN 3 THEN upper(substr(b, 1, 1)) || substr(b, 2) || ' and ' || upper(substr(a, 1, 1)) || substr(a, 2) ELSE p_name || ' #' || p_size END"""
+CASCADE = f"""WITH {MODS}, part2 AS (SELECT *, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part), c AS (SELECT *, {CASE_TEXT} AS t FROM part2),
+ e AS (SELECT p_name || ' ' || p_brand AS key, arg_min(p_type, p_partkey) AS ja FROM part GROUP BY 1),
+ r AS (SELECT p_partkey, t, CASE WHEN p_partkey % 7 = 0 THEN 'preserved' WHEN p_partkey % 5 = 0 THEN 'covered' WHEN p_partkey % 11 = 0 THEN 'cross_mod' WHEN p_size % 5 = 0 THEN 'exact'
+   WHEN p_size % 5 = 1 AND reading IS NOT NULL AND rendering IS NOT NULL THEN 'meaning' WHEN p_size % 5 = 2 THEN 'transliteration' WHEN p_size % 5 = 3 THEN 'name_fallback'
+   WHEN length(t) % 2 = 0 THEN 'local_llm' WHEN length(t) % 3 = 0 THEN 'cloud_llm' ELSE 'unresolved' END AS stage,
+   rendering || 'の' || reading AS composed, ja, {KANA.format('a')} AS x, {KANA.format('b')} AS y, a IN ('red', 'blue', 'green') AS colour FROM c LEFT JOIN h ON head = b LEFT JOIN m ON modifier = a LEFT JOIN e ON key = t)
+ SELECT p_partkey, stage, CASE stage WHEN 'preserved' THEN 'kept' WHEN 'covered' THEN '既' WHEN 'cross_mod' THEN '他' WHEN 'exact' THEN ja WHEN 'meaning' THEN composed WHEN 'transliteration' THEN x || y WHEN 'name_fallback' THEN CASE WHEN colour THEN y || ' （' || x || '）' ELSE y || 'と' || x END
+   WHEN 'local_llm' THEN '近' || t WHEN 'cloud_llm' THEN '遠' || t ELSE '' END AS japanese,
+   CASE stage WHEN 'preserved' THEN 'SJPTS_ModifiedByUser' WHEN 'covered' THEN 'SJPTS_AutoCorpusDsd' WHEN 'cross_mod' THEN 'SJPTS_AutoCrossModPrecedent' WHEN 'exact' THEN 'SJPTS_AutoCorpus' WHEN 'meaning' THEN 'SJPTS_AutoCorpusMeaning' WHEN 'transliteration' THEN 'SJPTS_AutoCorpusTransliterate'
+   WHEN 'name_fallback' THEN 'SJPTS_TranslationNameFallback' WHEN 'local_llm' THEN 'SJPTS_TranslationLocalLlm' WHEN 'cloud_llm' THEN 'SJPTS_TranslationCloudLlm' ELSE '' END AS method FROM r"""
+
+
+def cascaded(spark, d, on=None):
+    """All stages over all parts; the texts are made so that each stage has rows that only it answers."""
+    p = table(spark, d, "part").withColumns({"a": F.split_part("p_name", F.lit(" "), F.lit(1)), "b": F.split_part("p_name", F.lit(" "), F.lit(2))})
+    r = p.select("p_partkey", F.expr(CASE_TEXT).alias("text"), F.lit("WEAP FULL").alias("record_type"))
+    spelled = p.select(F.concat("p_name", F.lit(" "), "p_brand").alias("english"), F.col("p_partkey").alias("row_id"), F.col("p_type").alias("japanese"), F.lit("vanilla").alias("kind"), F.lit("WEAP FULL").alias("type"))
+    exact = corpus.exact_dictionary(spelled, spark.createDataFrame([], "key string"), spark.createDataFrame([], "english string, japanese string"))
+    c = compound(spark, d)
+    h = mining.heads(c)
+    w = known_pieces(spark, d)
+    words = names.lexicon(exact=w.select("word", F.col("kana").alias("japanese"), "source"))
+    answer = lambda condition, ja: F.expr(f"CASE WHEN {condition} THEN {ja} END")
+    stages = {
+        "preserved": cascade.column_stage(answer("p_partkey % 7 = 0", "'kept'"), "SJPTS_ModifiedByUser"),
+        "covered": cascade.column_stage(answer("p_partkey % 5 = 0", "'既'"), "SJPTS_AutoCorpusDsd"),
+        "cross_mod": cascade.column_stage(answer("p_partkey % 11 = 0", "'他'"), "SJPTS_AutoCrossModPrecedent"),
+        "exact": lambda rows: corpus.exact_lookup(rows, exact).withColumn("answer", cascade.told(F.col("exact.japanese"), F.col("exact.method"))),
+        "meaning": cascade.meaning_stage("text", "record_type", h, mining.modifiers(c, h), spelled_types(spark, d)),
+        "transliteration": cascade.spelling_stage("text", "record_type", w.withColumn("alone", F.lit(False))),
+        "name_fallback": cascade.name_stage("text", "record_type", words),
+        "local_llm": cascade.column_stage(answer("length(text) % 2 = 0", "'近' || text"), "SJPTS_TranslationLocalLlm"),
+        "cloud_llm": cascade.column_stage(answer("length(text) % 3 = 0", "'遠' || text"), "SJPTS_TranslationCloudLlm"),
+    }
+    return cascade.run(r, stages, on)
+
+
+@query("m08_resolution_cascade", CASCADE)
 def m08(spark, d):
-    from .q_joins import exact
+    return cascaded(spark, d).select("p_partkey", "stage", "japanese", "method")
+
 
-    r = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("text"), F.lit("WEAP FULL").alias("record_type"))
-    r = corpus.exact_lookup(r, exact(spark, d, "p_partkey % 11 = 0"))
-    kept = cascade.answer(F.expr("CASE WHEN p_partkey % 7 = 0 THEN 'kept' END"), "SJPTS_ModifiedByUser")
-    done = cascade.answer(F.expr("CASE WHEN p_partkey % 5 = 0 THEN '既' END"), "SJPTS_AutoCorpusDsd")
-    return cascade.resolve(r, [kept, done, F.col("exact")]).select("p_partkey", "japanese", "method")
+@query("m08_stage_counts", f"WITH z AS ({CASCADE}) SELECT stage, method, count(*) AS rows FROM z GROUP BY ALL")
+def m08_counts(spark, d):
+    return cascade.stage_counts(cascaded(spark, d))
 
 
 class Echo:

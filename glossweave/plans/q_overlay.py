@@ -135,13 +135,13 @@ def w15(spark, d):
 @query(
     "f17_not_player_facing",
     """WITH e AS (SELECT l_partkey AS key, max_by(l_returnflag = 'R', struct_pack(a := l_orderkey, b := l_linenumber, c := l_suppkey, d := l_shipdate, e := l_extendedprice, f := l_quantity)) AS off FROM lineitem GROUP BY 1)
- SELECT key FROM e WHERE off UNION SELECT o_custkey + 1000000 FROM orders GROUP BY 1 HAVING bool_or(o_orderstatus = 'F' OR NOT o_orderpriority <> '1-URGENT')
+ SELECT key FROM e WHERE off UNION SELECT key FROM (SELECT l_suppkey + 3000000 AS key, max_by(l_linestatus = 'O', struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey, d := l_shipdate, e := l_extendedprice, f := l_quantity)) AS off FROM lineitem GROUP BY 1) WHERE off UNION SELECT o_custkey + 1000000 FROM orders GROUP BY 1 HAVING bool_or(o_orderstatus = 'F' OR NOT o_orderpriority <> '1-URGENT')
  UNION SELECT ps.s + 2000000 FROM (SELECT p_size AS s, p_partkey FROM part) ps LEFT JOIN e ON e.key = ps.p_partkey GROUP BY ps.s HAVING bool_and(coalesce(e.off, false))""",
 )
 def f17(spark, d):
     li, part, orders = table(spark, d, "lineitem"), table(spark, d, "part"), table(spark, d, "orders")
     effects = li.select(F.col("l_partkey").alias("key"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity").alias("load_order"), (F.col("l_returnflag") == "R").alias("hidden"))
-    items = effects.limit(0).select("key", "load_order", F.col("hidden").alias("not_playable"))
+    items = li.select((F.col("l_suppkey") + 3000000).alias("key"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity").alias("load_order"), (F.col("l_linestatus") == "O").alias("not_playable"))
     perks = orders.select((F.col("o_custkey") + 1000000).alias("key"), (F.col("o_orderstatus") == "F").alias("hidden"), (F.col("o_orderpriority") != "1-URGENT").alias("playable"))
     spells = part.select((F.col("p_size") + 2000000).cast("long").alias("key"), F.col("p_partkey").alias("effect"))
     return reports.not_player_facing(effects, items, perks, spells)
@@ -150,7 +150,7 @@ def f17(spark, d):
 SUPPLIER_LINE = "'filterByNpcs=' || CASE s_suppkey % 3 WHEN 0 THEN 'Mod' || s_nationkey || '.esp|0x' || s_suppkey ELSE s_name END || ':fullName=~' || s_name || ': the ' || s_suppkey || '~'"
 
 
-@query("s22_ini_line_parser")
+@query("s22_ini_line_parser", "SELECT s_suppkey, 'filterByNpcs=' || CASE s_suppkey % 3 WHEN 0 THEN 'Mod' || s_nationkey || '.esp|0x' || s_suppkey ELSE s_name END AS filter_part, 'FullName' AS kind, s_name || ': the ' || s_suppkey AS text FROM supplier")
 def s22(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", inipatch.parse_lines(F.expr(SUPPLIER_LINE)).alias("p"))
     return s.select("s_suppkey", F.array_join("p.filters", ":").alias("filter_part"), F.explode("p.ops").alias("op")).select("s_suppkey", "filter_part", "op.kind", "op.text")
@@ -161,29 +161,30 @@ def ini_rows(spark, d):
     target = "'Mod' || (s_nationkey % 5) || '.esp|0x' || (s_suppkey % 7)"
     gate = "CASE WHEN s_suppkey % 4 = 0 THEN 'hasPlugins=Mod1.esp,Mod' || (s_suppkey % 6) || '.esp:' ELSE '' END"
     text = f"{gate} || 'filterByNpcs=' || {target} || CASE WHEN s_suppkey % 3 = 0 THEN ',Mod1.esp|9' ELSE '' END || ':fullName=~' || s_name || '~'"
-    path = "'npc/' || CASE WHEN s_nationkey % 6 = 5 THEN 'Mod' || s_nationkey || '.esp' ELSE 'n' || s_nationkey END || '.ini'"
+    path = "CASE WHEN s_nationkey % 6 = 4 THEN 'weapon/' ELSE 'npc/' END || CASE WHEN s_nationkey % 6 = 5 THEN 'Mod' || s_nationkey || '.esp' ELSE 'n' || s_nationkey END || '.ini'"
     return table(spark, d, "supplier").select(F.expr(path).alias("path"), F.col("s_suppkey").alias("line_no"), F.expr(text).alias("line"))
 
 
 ACTIVE = ["mod0.esp", "mod1.esp", "mod2.esp", "mod3.esp"]
-INI_SQL = """WITH r AS (SELECT 'npc/' || CASE WHEN s_nationkey % 6 = 5 THEN 'Mod' || s_nationkey || '.esp' ELSE 'n' || s_nationkey END || '.ini' AS path, s_suppkey AS n, s_name AS text, s_nationkey,
+DISABLED = ["iEnableWeaponPatching"]
+INI_SQL = """WITH r AS (SELECT CASE WHEN s_nationkey % 6 = 4 THEN 'weapon/' ELSE 'npc/' END || CASE WHEN s_nationkey % 6 = 5 THEN 'Mod' || s_nationkey || '.esp' ELSE 'n' || s_nationkey END || '.ini' AS path, s_suppkey AS n, s_name AS text, s_nationkey,
    s_suppkey % 4 = 0 AS gated, s_suppkey % 6 AS gm, list_distinct(list_concat(['mod' || (s_nationkey % 5) || '.esp|' || (s_suppkey % 7)], CASE WHEN s_suppkey % 3 = 0 THEN ['mod1.esp|9'] ELSE [] END)) AS t,
    CASE WHEN s_suppkey % 4 = 0 THEN 'hasplugins=mod1.esp,mod' || (s_suppkey % 6) || '.esp' ELSE '' END AS sig FROM supplier),
- g AS (SELECT *, CASE WHEN s_nationkey % 6 = 5 AND s_nationkey NOT IN (0, 1, 2, 3) THEN 'FileGate' WHEN gated AND gm NOT IN (0, 1, 2, 3) THEN 'LineGate'
+ g AS (SELECT *, CASE WHEN s_nationkey % 6 = 4 THEN 'TypeDisabled' WHEN s_nationkey % 6 = 5 AND s_nationkey NOT IN (0, 1, 2, 3) THEN 'FileGate' WHEN gated AND gm NOT IN (0, 1, 2, 3) THEN 'LineGate'
    WHEN s_nationkey % 5 = 4 AND s_OTHER THEN 'TargetPluginMissing' ELSE '' END AS gate FROM (SELECT *, NOT list_contains(t, 'mod1.esp|9') AS s_OTHER FROM r))
  """
 
 
 @query("f25_j17_gates_and_overrides", INI_SQL + """SELECT path, n AS line_no, text, CASE WHEN gate = '' AND EXISTS (SELECT 1 FROM g l WHERE l.path = g.path AND l.sig = g.sig AND l.gate = '' AND l.n > g.n AND list_has_all(l.t, g.t)) THEN 'OverriddenInSameFile' ELSE gate END AS inactive FROM g""")
 def f25(spark, d):
-    e = inipatch.evaluate(ini_rows(spark, d), F.lit(ACTIVE), F.array().cast("array<string>"))
+    e = inipatch.evaluate(ini_rows(spark, d), F.lit(ACTIVE), F.lit(DISABLED))
     return e.select("path", "line_no", "text", "inactive")
 
 
 @query("a15_self_audit", INI_SQL + """SELECT count(*) AS n_rows, count(*) FILTER (x <> '') AS inactive, CAST(0 AS BIGINT) AS excluded, count(*) FILTER (x = '') AS offered FROM
  (SELECT CASE WHEN gate = '' AND EXISTS (SELECT 1 FROM g l WHERE l.path = g.path AND l.sig = g.sig AND l.gate = '' AND l.n > g.n AND list_has_all(l.t, g.t)) THEN 'o' ELSE gate END AS x FROM g)""")
 def a15(spark, d):
-    e = inipatch.evaluate(ini_rows(spark, d), F.lit(ACTIVE), F.array().cast("array<string>"))
+    e = inipatch.evaluate(ini_rows(spark, d), F.lit(ACTIVE), F.lit(DISABLED))
     return inipatch.audit(e, X.ini_exclusion_reason(F.col("text")))
 
 

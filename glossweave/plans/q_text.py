@@ -102,7 +102,7 @@ flag("f22_pure_katakana", X.is_pure_katakana, "regexp_matches(t, '^[\\x{30A0}-\\
 flag("f22_plain_phrase", X.is_plain_phrase, f"regexp_matches({TRIM}, '^[A-Za-z][A-Za-z'' -]*$')")
 
 
-@query("f23_pass_through_tokens", duck(f"SELECT w, count(*) AS n FROM (SELECT unnest({WORDS}) AS w FROM s) WHERE regexp_matches(w, '^(-|\\p{{Nd}}+|\\p{{Lu}}|[IVXLCDM]+)$') GROUP BY w"))
+@query("f23_pass_through_tokens", duck(f"SELECT w, count(*) AS n FROM (SELECT unnest({WORDS}) AS w FROM s) WHERE regexp_matches(w, '^(-|\\p{{Nd}}+|\\p{{Lu}}|I{{1,3}}|IV|V|VI{{1,3}}|IX|X{{1,3}})$') GROUP BY w"))
 def f23(spark, d):
     w = source(spark, d).select(F.explode(X.words(F.col("t"))).alias("w"))
     return w.where(X.is_pass_through(F.col("w"))).groupBy("w").agg(F.count(F.lit(1)).alias("n"))

@@ -1,7 +1,5 @@
 """Mined dictionaries: long entries and long chains."""
 
-import pytest
-
 from glossweave.operators import mining
 from glossweave.plans import q_mining
 
@@ -13,19 +11,8 @@ def test_long_entries_are_mined(spark):
     assert len(got) == 1 and len(got[0].ws) == 65 and len(got[0].rs) == 64
 
 
-def test_chain_is_followed_to_its_end(spark):
-    kana = "アイウエオカキクケコサシ"
-    rows = [(k, f"w{chr(97 + k)} w{chr(98 + k)}", f"{kana[k]}ー・{kana[k + 1]}ー") for k in range(11)]
-    entries = spark.createDataFrame(rows, "row_id long, english string, japanese string")
-    seeds = spark.createDataFrame([("wa", "アー")], "word string, kana string")
-    got = {r.word: r.kana for r in mining.induce(entries, seeds).collect()}
-    assert got == {f"w{chr(97 + k)}": f"{kana[k]}ー" for k in range(12)}
-    with pytest.raises(RuntimeError):
-        mining.induce(entries, seeds, rounds=3)
-
-
-def test_queries_without_sql_mine_the_whole_table(spark, tmp_path):
-    """Rows whose keys are all divisible by three give words as well."""
+def test_induction_mines_the_whole_table(spark, tmp_path):
+    """Rows whose keys are all divisible by three give words as well; a word that running text uses is none of them."""
     rows = [(3 * k, f"{name} ring", 1) for k, name in enumerate(("red", "blue", "gold") * 4, 1)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
-    assert {r.word for r in q_mining.m01(spark, str(tmp_path)).collect()} == {"ring", "red", "blue", "gold"}
+    assert {r.word for r in q_mining.m01(spark, str(tmp_path)).collect()} == {"ring", "red", "gold", "red ring"}

@@ -60,8 +60,3 @@ def test_spelling():
     assert udfs.kana_name("Red Ring") == f"{udfs.kana_word('Red')}・{udfs.kana_word('Ring')}"
     assert udfs.kana_word("stone") == udfs.kana_word("ston")
     assert udfs.kana_word("123") == "123"
-    assert udfs.decompose("Frostfall", {"frost": "フロスト", "fall": "フォール"}) == "フロストフォール"
-    assert udfs.decompose("Frostfell", {"frost": "フロスト", "fall": "フォール"}) is None
-    assert udfs.name_chain("Ring of the North", {"ring": "指輪", "north": "北"}) == ("北の指輪", [])
-    assert udfs.name_chain("Heavy Armor", {"heavy armor": "重装", "heavy": "x", "armor": "y"})[0] == "重装"
-    assert udfs.name_chain("Odd Ring", {"ring": "指輪"}) == (None, ["Odd"])
