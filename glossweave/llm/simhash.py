@@ -207,11 +207,12 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     here = Window.partitionBy("variant")
     met = ball.withColumn("n", F.count(F.lit(1)).over(here)).withColumn("low", F.min("at").over(here)).withColumn("high", F.max("at").over(here))
     # few rows but those of copies: most variants have one fingerprint; equal bands need not meet again where both are flipped alike
-    met = checkpoint(met.where("n > 1 AND (low < high OR low = 0)").drop("low", "high"))
-    # an original meets more of its copies than they meet each other, so the one that meets most comes first in its places
-    weight = met.groupBy("fp").agg(F.sum("n").alias("weight"))
+    met = met.where("n > 1 AND (low < high OR low = 0)").select("fp", "variant", "at", "n")
+    # an original meets more of its copies than they meet each other, so the one that meets most comes first in its places.
+    # What belongs to a fingerprint joins it while its places (at most 33 a band) are one row, and is unfolded with them.
+    held = checkpoint(met.groupBy("fp").agg(F.sum("n").alias("weight"), F.collect_list(F.struct("variant", "at", "n")).alias("places")))
     place = Window.partitionBy("variant").orderBy(F.desc("weight"), "fp")
-    pairs = met.join(weight, "fp").select(F.col("fp").alias("b"), F.first("fp").over(place).alias("first"), F.lag("fp").over(place).alias("last"))
+    pairs = held.select("fp", "weight", F.explode("places.variant").alias("variant")).select(F.col("fp").alias("b"), F.first("fp").over(place).alias("first"), F.lag("fp").over(place).alias("last"))
     pairs = pairs.select("b", F.explode(F.array_distinct(F.array("first", "last"))).alias("a")).where("a <> b").groupBy("b", "a").agg(F.count(F.lit(1)).alias("met"))
     often = Window.partitionBy("b").orderBy(F.desc("met"), "a")
     pairs = pairs.withColumn("rank", F.row_number().over(often)).where(F.col("rank") <= MEETINGS).select("a", "b")
@@ -220,10 +221,11 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     ties = checkpoint(similar(nearest, texts))
 
     tied = components(ties)
-    rooted = met.join(tied, met.fp == tied.node, "left").select("variant", "at", "n", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = checkpoint(of_two(rooted, "variant", "root"))
-    busy = mixed.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") > QUIET)
-    known = mixed.drop("n").join(reach(busy, texts), "fp", "left")
+    rooted = held.join(tied, held.fp == tied.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), F.explode("places").alias("x")).select("fp", "root", "x.*")
+    mixed = of_two(rooted, "variant", "root").groupBy("fp", "root").agg(F.sum("n").alias("n"), F.collect_list(F.struct("variant", "at")).alias("places"))
+    mixed = checkpoint(mixed)
+    bounds = reach(mixed.where(F.col("n") > QUIET), texts)
+    known = mixed.drop("n").join(bounds, "fp", "left").withColumn("x", F.explode("places")).select("fp", "root", "size", "most", "parts", "x.variant", "x.at")
     known = known.withColumn("low", F.min(F.coalesce("size", F.lit(0))).over(here)).withColumn("high", F.max(F.coalesce("most", F.lit((1 << 63) - 1))).over(here))
     known = of_two(known.where("size IS NULL OR most >= low AND size <= high").drop("low", "high"), "variant", "root")
     side = lambda x: known.select("variant", *[F.col(c).alias(x + c) for c in known.columns if c != "variant"])
