@@ -1,16 +1,14 @@
 """Budgeted batches for an external text translator, with retries, a breaker and answer matching.
 
-Plugins are independent, so each is one group of a grouped map; inside a group batches follow each
-other because answers become hints. The translator is any object with ``translate(prompts)``.
+The pieces that a task uses; ``rounds`` plans the batches and keeps the answers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Protocol
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,23 +19,24 @@ LOCAL_CHARS, CLOUD_CHARS, RETRIES, BREAK_AFTER, SECONDS_PER_CHAR, LEAST_SECONDS
 
 class Translator(Protocol):
     def translate(self, texts: list[str], hints: list[str], timeout: float) -> dict[str, str]:
-        """Answers by source text; may leave texts out; raises on a hard failure."""
+        """Answers by source text; may leave texts out; raises on a hard failure. An attribute ``truncated`` that is true says that
+        the last answer was cut off."""
 
 
 @dataclass
 class Profile:
-    """How much effort mining and batching may take."""
+    """How much effort mining may take: the thorough values are the default."""
 
-    max_words: int = 40
-    max_runs: int = 20
-    rounds: int = 8
-    batch_chars: int = LOCAL_CHARS
-    hint_share: float = 0.25
-    top_hints: int = 10
+    together: int = 2
+    dice: float = 0.45
+    longest: int = 20_000
+    max_words: int = 3_000
+    max_runs: int = 1_000
+    rounds: int = 100
 
     @classmethod
-    def thorough(cls) -> Profile:
-        return cls(3_000, 1_000, 100, CLOUD_CHARS, 0.25, 15)
+    def fast(cls) -> Profile:
+        return cls(3, 0.8, 300, 40, 20, 8)
 
 
 @dataclass
@@ -101,53 +100,6 @@ def match_back(texts: list[str], answers: dict[str, str]) -> dict[str, str]:
     return out
 
 
-@dataclass
-class Loop:
-    """Passes over what is unanswered until a pass brings nothing."""
-
-    translator: Guarded
-    limit: int = LOCAL_CHARS
-    hint_chars: int = int(LOCAL_CHARS * 0.25)
-    cancelled: Callable[[], bool] = lambda: False
-    answers: dict[str, str] = field(default_factory=dict)
-
-    def hints(self, batch: list[str]) -> list[str]:
-        words = {w for t in batch for w in t.lower().split()}
-        out, used = [], 0
-        for k, v in self.answers.items():
-            line = f"{k} = {v}"
-            if words & set(k.lower().split()):
-                if used + len(line) > self.hint_chars:
-                    break
-                out.append(line)
-                used += len(line)
-        return out
-
-    def run(self, texts: Iterable[str]) -> dict[str, str]:
-        left = list(dict.fromkeys(texts))  # each distinct text once
-        while left and not self.translator.open and not self.cancelled():
-            before = len(self.answers)
-            for batch in packs(left, self.limit):
-                self.answers |= match_back(batch, self.translator.translate(batch, self.hints(batch)))
-                if self.translator.open or self.cancelled():
-                    break
-            if len(self.answers) == before:
-                break
-            left = [t for t in left if t not in self.answers]
-        return self.answers
-
-
-def translate(rows: DataFrame, plugin: str, text: str, make: Callable[[], Translator], profile: Profile | None = None) -> DataFrame:
-    """plugin, text, japanese for the texts that were answered: one group a plugin, distinct texts only."""
-    p = profile or Profile()
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = Loop(Guarded(make()), p.batch_chars, int(p.batch_chars * p.hint_share)).run(pdf.sort_values(text)[text])
-        return pd.DataFrame({plugin: pdf[plugin].iloc[0], text: list(got), "japanese": list(got.values())})
-
-    return rows.select(plugin, text).distinct().groupBy(plugin).applyInPandas(group, f"{plugin} string, {text} string, japanese string")
-
-
 def fan_out(rows: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
     """Give every row the answer of its text."""
     return rows.join(answers, keys, "left")

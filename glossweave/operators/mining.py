@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import udfs
+from .batch import Profile
 from .overlay import first_by
 
 # --- Fixed values ---------------------------------------------------------------------------
@@ -25,13 +26,25 @@ def pair_words(corpus: DataFrame, longest: int = 20_000, max_words: int = 3_000,
     return df.where(F.size("ws").between(1, max_words) & F.size("rs").between(1, max_runs))
 
 
-def co_occurrence(pairs: DataFrame) -> DataFrame:
-    """word, run, together, word_n, run_n, dice. The caps of ``pair_words`` bound what a row unfolds to."""
-    words = pairs.select(F.explode("ws").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("word_n"))
-    runs = pairs.select(F.explode("rs").alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("run_n"))
-    both = pairs.select(F.explode("ws").alias("word"), "rs").select("word", F.explode("rs").alias("run")).groupBy("word", "run").agg(F.count(F.lit(1)).alias("together"))
-    dice = F.lit(2.0) * F.col("together") / (F.col("word_n") + F.col("run_n"))
-    return both.join(words, "word").join(runs, "run").withColumn("dice", dice)
+def co_occurrence(pairs: DataFrame, least: int = 1, min_dice: float = 0.0) -> DataFrame:
+    """word, run, together, word_n, run_n, dice of pairs that occur ``least`` times together with a Dice of ``min_dice``.
+
+    Words and runs of fewer rows than ``least`` leave before the product of a row is formed, and of the others only those are paired
+    whose row counts allow the Dice: it is at most twice the lesser count over both. Both bounds are exact.
+    """
+    words = pairs.select("row_id", F.explode("ws").alias("word"))
+    runs = pairs.select("row_id", F.explode("rs").alias("run"))
+    word_n = words.groupBy("word").agg(F.count(F.lit(1)).alias("word_n")).where(F.col("word_n") >= least)
+    run_n = runs.groupBy("run").agg(F.count(F.lit(1)).alias("run_n")).where(F.col("run_n") >= least)
+    w = words.join(word_n, "word").groupBy("row_id").agg(F.collect_list(F.struct("word", "word_n")).alias("ws"))
+    r = runs.join(run_n, "run").groupBy("row_id").agg(F.collect_list(F.struct("run", "run_n")).alias("rs"))
+    # the runs that a word's count allows are taken from the row's list before any pair is made
+    both = w.join(r, "row_id").select(F.explode("ws").alias("w"), "rs")
+    allowed = F.filter("rs", lambda x: F.lit(2.0) * F.least(F.col("w.word_n"), x["run_n"]) >= F.lit(min_dice - 1e-9) * (F.col("w.word_n") + x["run_n"]))
+    both = both.select("w", F.explode(allowed).alias("r"))
+    out = both.groupBy("w.word", "r.run").agg(F.count(F.lit(1)).alias("together"), F.first("w.word_n").alias("word_n"), F.first("r.run_n").alias("run_n"))
+    out = out.withColumn("dice", F.lit(2.0) * F.col("together") / (F.col("word_n") + F.col("run_n")))
+    return out.where((F.col("together") >= least) & (F.col("dice") >= min_dice - 1e-9))
 
 
 def best_pairs(table: DataFrame, least: int = MIN_TOGETHER, min_dice: float = MIN_DICE, credible: Column | None = None) -> DataFrame:
@@ -50,9 +63,11 @@ def vouched(mined: DataFrame, corpus: DataFrame) -> DataFrame:
     return mined.join(w, "word").where(F.contains("japanese", F.col("run"))).groupBy("word", "run").agg(F.count(F.lit(1)).alias("witnesses"))
 
 
-def align(corpus: DataFrame) -> DataFrame:
+def align(corpus: DataFrame, profile: Profile | None = None) -> DataFrame:
     """Sentence alignment: best pairs that are phonetically plausible and vouched for."""
-    return vouched(best_pairs(co_occurrence(pair_words(corpus)), credible=udfs.plausible(F.col("word"), F.col("run"))), corpus)
+    p = profile or Profile()
+    pairs = co_occurrence(pair_words(corpus, p.longest, p.max_words, p.max_runs), p.together, p.dice)
+    return vouched(best_pairs(pairs, p.together, p.dice, udfs.plausible(F.col("word"), F.col("run"))), corpus)
 
 
 def heads(corpus: DataFrame, least: int = HEAD_SUPPORT) -> DataFrame:

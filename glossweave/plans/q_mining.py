@@ -6,8 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions import udfs
-from ..operators import batch, cascade, corpus, induction, mining, names, phrases, retrieval, spelling
+from ..operators import cascade, corpus, induction, mining, names, phrases, retrieval, rounds, spelling
 from .q_text import TOKENS
 from .registry import query, table
 
@@ -157,7 +156,7 @@ BEST = PAIRS + ", b1 AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY
 
 @query("w11_best_dice", f"WITH {BEST} SELECT word, run FROM best")
 def w11(spark, d):
-    return mining.best_pairs(mining.co_occurrence(mining.pair_words(split_bilingual(spark, d)))).select("word", "run")
+    return mining.best_pairs(mining.co_occurrence(mining.pair_words(split_bilingual(spark, d)), mining.MIN_TOGETHER, mining.MIN_DICE)).select("word", "run")
 
 
 @query("j18_witness_verification", f"WITH {BEST} SELECT word, run, count(*) AS witnesses FROM best JOIN c ON list_contains(ws, word) AND list_contains(rs, run) AND len(rs) <= 2 GROUP BY ALL")
@@ -309,13 +308,13 @@ def m08_counts(spark, d):
     return cascade.stage_counts(cascaded(spark, d))
 
 
-class Echo:
-    """A stand-in translator: answers every second text by its spelling."""
+class Marked:
+    """A stand-in translator: answers every second text by itself with a mark before it."""
 
     def translate(self, texts, hints, timeout):
-        return {t: udfs.kana_name(t) for t in texts if len(t) % 2 == 0}
+        return {t: f"訳{t}" for t in texts if len(t) % 2 == 0}
 
 
-@query("b01_batch_translation")
+@query("b01_batch_translation", "SELECT DISTINCT p_brand, p_name, '訳' || p_name AS japanese FROM part WHERE length(p_name) % 2 = 0")
 def b01(spark, d):
-    return batch.translate(table(spark, d, "part"), "p_brand", "p_name", Echo)
+    return rounds.translate(table(spark, d, "part"), "p_brand", "p_name", Marked)

