@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .overlay import first_rows
+from ..plans.session import checkpoint
 
 # --- Fixed values ---------------------------------------------------------------------------
 LEAST_LOCAL, LONGEST, TOP = 2, 5, 10
@@ -47,21 +46,28 @@ def scored(local: DataFrame, global_: DataFrame, n: int) -> DataFrame:
     return local.where(ok).join(global_, "gram").withColumn("score", score)
 
 
-def choose(ranked: pd.DataFrame, top: int = TOP) -> pd.DataFrame:
-    """Walk a group's phrases by score and keep each that neither holds nor is held by a kept one."""
-    out: list[str] = []
-    for g in ranked.sort_values(["score", "gram"], ascending=[False, True])["gram"]:
-        if len(out) == top:
-            break
-        if not any(g in kept or kept in g for kept in out):
-            out.append(g)
-    return ranked[ranked["gram"].isin(out)]
-
+def key_phrases(scores: DataFrame, group: str, known: DataFrame | None = None, top: int = TOP) -> DataFrame:
+    """The ``top`` phrases of each group: by score, then more words, then text, each that neither holds nor is held by a chosen one.
+    Phrases in ``known`` (gram) are left out.
 
-def key_phrases(scores: DataFrame, group: str, known: DataFrame | None = None, top: int = TOP, pool: int = 2_000) -> DataFrame:
-    """The ``top`` phrases of each group. Phrases in ``known`` (gram) are left out. Only the ``pool`` best
-    of a group, cut by a window group limit, reach the sequential choice of one task."""
+    The walk goes in rounds: each takes the first phrase of every group that no chosen one excludes, a grouped minimum; what is
+    chosen is at most ``top`` phrases a group, joined to the rest by the group. No phrase is left out of the walk.
+    """
     if known is not None:
         scores = scores.join(known, "gram", "left_anti")
-    best = first_rows(scores, [group], [F.desc("score"), F.asc("gram")], pool)
-    return best.groupBy(group).applyInPandas(lambda p: choose(p, top), best.schema)
+    scores = checkpoint(scores)
+    place = F.struct((-F.round("score", 9)).alias("s"), (-F.size(F.split("gram", " "))).alias("n"), "gram")
+    chosen, last = None, 0
+    for _ in range(top):
+        left = scores
+        if chosen is not None:
+            taken = chosen.groupBy(group).agg(F.collect_list("gram").alias("taken"))
+            left = scores.join(taken, group, "left")
+            left = left.where(F.forall(F.coalesce("taken", F.array().cast("array<string>")), lambda t: ~F.contains(t, F.col("gram")) & ~F.contains("gram", t))).drop("taken")
+        best = left.groupBy(group).agg(F.min_by(F.struct(*scores.columns), place).alias("b")).select("b.*")
+        chosen = checkpoint(best if chosen is None else chosen.unionByName(best))
+        now = chosen.count()
+        if now == last:
+            break
+        last = now
+    return chosen

@@ -125,7 +125,17 @@ def x17(spark, d):
     return key_scores(spark, d).select("grp", "gram", F.round("score", 6).alias("score"))
 
 
-@query("w13_m11_key_phrases")
+def chosen_sql(top: int = 10) -> str:
+    """The walk in ten steps: the first phrase of each group that is left, then without what it holds or is held by."""
+    out = [SCORED, "s0 AS (SELECT grp, gram, score FROM sc)"]
+    for k in range(1, top + 1):
+        out.append(f"b{k} AS (SELECT grp, arg_min(gram, struct_pack(a := -round(score, 9), b := -len(string_split(gram, ' ')), c := gram)) AS best FROM s{k - 1} GROUP BY 1)")
+        out.append(f"s{k} AS (SELECT s.* FROM s{k - 1} s JOIN b{k} USING (grp) WHERE NOT contains(gram, best) AND NOT contains(best, gram))")
+    chosen = " UNION ALL ".join(f"SELECT grp, best AS gram FROM b{k}" for k in range(1, top + 1))
+    return ", ".join(out) + f" SELECT grp, gram, round(score, 6) AS score FROM ({chosen}) JOIN s0 USING (grp, gram)"
+
+
+@query("w13_m11_key_phrases", "WITH " + chosen_sql())
 def w13(spark, d):
     return phrases.key_phrases(key_scores(spark, d), "grp").select("grp", "gram", F.round("score", 6).alias("score"))
 

@@ -24,11 +24,26 @@ CP1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–
 # ----------------------------------------------------------------------------------------------
 
 
+def numbered(raw: DataFrame, value: str = "value") -> DataFrame:
+    """file, line_no, line of a scan of text lines with file, block (where a byte range of the file starts) and its line.
+
+    Files are read in byte ranges by many tasks. A range's lines are counted, the ranges of a file are summed up in their order (a row a
+    range), and a line's number is the sum before its range and its place in it. Places come from the scan's own row
+    ids, which rise within a range.
+    """
+    ids = raw.withColumn("id", F.monotonically_increasing_id())
+    per = ids.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    out = ids.join(per, ["file", "block"]).withColumn("line_no", (F.col("id") + F.col("shift") + 1).cast("long"))
+    line = F.when(F.col("line_no") == 1, F.regexp_replace(value, "^\ufeff", "")).otherwise(F.col(value))
+    return out.select("file", "line_no", line.alias("line"))
+
+
 def lines(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
-    """file, line_no (in file order), line. Read whole files, as line numbers need them."""
-    raw = spark.read.options(**options).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("v"))
-    split = raw.select("file", F.posexplode(F.split("v", "\r\n|\r|\n")).alias("line_no", "line"))
-    return split.withColumn("line_no", F.col("line_no") + 1)
+    """file, line_no (in file order), line: CR, LF or CRLF ends, a mark at the start skipped. Large files are read in byte ranges."""
+    raw = spark.read.options(**options).text(path)
+    return numbered(raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"))
 
 
 def positional(spark: SparkSession, path: str | list[str], columns: Sequence[str], least: int, ints: Sequence[str] = ()) -> DataFrame:
@@ -38,6 +53,33 @@ def positional(spark: SparkSession, path: str | list[str], columns: Sequence[str
     return rows.select("file", "line_no", *[cell(i, n).alias(n) for i, n in enumerate(columns)])
 
 
+def checked(spark: SparkSession, paths: list[str], columns: Sequence[str], least: int, ints: Sequence[str] = ()) -> DataFrame:
+    """The rows of ``positional`` and what could not be read, in one scan: ``error`` is null for good rows, else says why a row or a whole file
+    is set aside (with the text as it stands in ``raw``). Files that are not there are rows as well."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def there(path: str) -> bool:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf).exists(p)
+
+    gone = [p for p in paths if not there(p)]
+    none = T.StructType([T.StructField(n, T.StringType() if n not in ints else T.IntegerType()) for n in columns])
+    schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("line_no", T.LongType()), *none.fields, T.StructField("error", T.StringType()), T.StructField("raw", T.StringType())])
+    out = spark.createDataFrame([(p, None, *[None] * len(columns), "no such file", None) for p in gone], schema)
+    if len(gone) == len(paths):
+        return out
+    rows = lines(spark, [p for p in paths if p not in gone]).where("line_no > 1 and trim(line) <> ''").withColumn("c", F.split("line", "\t"))
+    number = lambda i: F.try_to_number(F.get("c", F.lit(i)), F.lit("999999999")).cast("int")
+    given = lambda i: X.blank(F.get("c", F.lit(i))) != ""
+    wrong = [F.when(given(i) & number(i).isNull(), F.lit(f"{n} is no number")) for i, n in enumerate(columns) if n in ints]
+    error = F.coalesce(F.when(~F.is_valid_utf8("line"), "not UTF-8"), F.when(F.size("c") < least, F.concat(F.lit("only "), F.size("c").cast("string"), F.lit(" columns"))), *wrong, F.lit(None).cast("string"))
+    rows = rows.withColumn("error", error)
+    cell = lambda i, n: F.coalesce(number(i), F.lit(0)) if n in ints else X.unescape_tsv(F.get("c", F.lit(i)))
+    good = F.col("error").isNull()
+    read = rows.select("file", "line_no", *[F.when(good, cell(i, n)).alias(n) for i, n in enumerate(columns)], "error", F.when(~good, F.make_valid_utf8("line")).alias("raw"))
+    return out.unionByName(read)
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     return positional(spark, path, CANDIDATE, CANDIDATE_LEAST, CANDIDATE_INTS)
 
@@ -154,11 +196,10 @@ def mixed_text(content: Column) -> Column:
 def mixed_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of files, each in its own encoding: CR, LF or CRLF ends, mark at the start skipped.
 
-    Bytes are split as ISO-8859-1, which keeps every byte, and each line is then decoded for itself.
+    The scan keeps a line's bytes as they are, and each line is then decoded for itself.
     """
-    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", "ISO-8859-1").alias("v"))
-    split = raw.select("file", F.posexplode(F.split(F.regexp_replace("v", "^\xef\xbb\xbf", ""), "\r\n|\r|\n")).alias("line_no", "l"))
-    return split.select("file", (F.col("line_no") + 1).alias("line_no"), mixed_text(F.encode("l", "ISO-8859-1")).alias("line"))
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), mixed_text(F.col("value").cast("binary")).alias("value"))
+    return numbered(raw)
 
 
 def word_list(spark: SparkSession, path: str) -> DataFrame:
