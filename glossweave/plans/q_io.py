@@ -28,9 +28,9 @@ def k03(spark, d):
     return sinks.candidate_list(p)
 
 
-@query("k04_s08_json_round_trip", "SELECT p_brand AS plugin, p_name AS original, CAST(p_size AS INTEGER) AS index FROM part WHERE p_partkey % 5 = 0")
+@query("k04_s08_json_round_trip", "SELECT p_brand AS plugin, p_name AS original, CAST(p_size AS INTEGER) AS index FROM part")
 def k04(spark, d):
-    p = table(spark, d, "part").where("p_partkey % 5 = 0")
+    p = table(spark, d, "part")
     e = p.select(F.col("p_brand").alias("plugin"), F.col("p_partkey").alias("row_id"), F.lit("e").alias("editor_id"), F.concat(F.hex("p_partkey"), F.lit("|A.esp")).alias("form_id"), F.col("p_size").cast("int").alias("index"), F.lit("WEAP FULL").alias("type"), F.col("p_name").alias("original"), F.lit("剣").alias("string"), F.lit("x").alias("status"))
     back = F.from_json("json", "array<struct<editor_id: string, form_id: string, index: int, type: string, original: string, string: string, status: string>>")
     return sinks.json_files(e).select("plugin", F.explode(back).alias("e")).select("plugin", "e.original", "e.index")
@@ -101,6 +101,6 @@ def k12(spark, d):
     return sinks.prompt_package(table(spark, d, "part").select(F.col("p_name").alias("text"), F.col("p_type").alias("hint")))
 
 
-@query("k13_excluded_list", "SELECT *, count(*) OVER (PARTITION BY category) AS kinds FROM (SELECT p_type AS category, p_name AS item, count(*) AS n FROM part WHERE p_size < 5 GROUP BY ALL)")
+@query("k13_excluded_list", "SELECT *, count(*) OVER (PARTITION BY category) AS kinds FROM (SELECT p_type AS category, p_name AS item, count(*) AS n FROM part GROUP BY ALL)")
 def k13(spark, d):
-    return sinks.grouped_list(table(spark, d, "part").where("p_size < 5").select(F.col("p_type").alias("category"), F.col("p_name").alias("item")), "category", "item")
+    return sinks.grouped_list(table(spark, d, "part").select(F.col("p_type").alias("category"), F.col("p_name").alias("item")), "category", "item")

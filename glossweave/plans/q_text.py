@@ -186,7 +186,14 @@ def x09(spark, d):
     return table(spark, d, "part").where("p_size > 0").select("p_partkey", F.array_join(bits.cast("array<string>"), ",").alias("slots"))
 
 
-@query("x10_transliterate")
+#: The words of part names and how the spelling rules read them.
+READ = {
+    "anvil": "アンヴィル", "blue": "ブルエ", "bolt": "ボルト", "cold": "コルド", "gear": "ゲアル", "gizmo": "ギズモ", "hot": "ホト", "large": "ラルグ", "new": "ネウ", "old": "オルド", "plate": "プラト", "red": "レド", "ring": "リング",
+    "rod": "ロド", "small": "スマッル", "widget": "ウィッジト",
+}
+
+
+@query("x10_transliterate", "WITH m AS (SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{k}')" for w, k in READ.items()) + ") AS t(w, k)) SELECT p_partkey, p_name, a.k || '・' || b.k AS kana FROM part LEFT JOIN m a ON a.w = split_part(p_name, ' ', 1) LEFT JOIN m b ON b.w = split_part(p_name, ' ', 2)")
 def x10(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_name", udfs.transliterate(F.col("p_name")).alias("kana"))
 

@@ -29,4 +29,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import q_aggregates, q_io, q_joins, q_mining, q_overlay, q_text  # noqa: E402, F401
+from . import q_aggregates, q_files, q_io, q_joins, q_mining, q_overlay, q_text  # noqa: E402, F401
