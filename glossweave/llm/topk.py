@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Accumulator
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -142,8 +142,10 @@ def matrix(raw: bytes, rows: int, dim: int) -> np.ndarray:
     return np.frombuffer(raw, "<i8").reshape(rows, dim)
 
 
-def packed(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (id, v, dim, cell) as one row (dim, block, n, ids, vs, cells) for each run of about ``size`` rows along the order of cells."""
+def packed(rows: DataFrame, size: int, tie: Column) -> DataFrame:
+    """Rows (id, v, dim, cell) as one row (dim, block, n, ids, vs, cells) for each run of about ``size`` rows along the order of cells.
+
+    Rows of a large cell are dealt by a hash of their id and ``tie``, which must be the same whenever a task runs again."""
     spark = rows.sparkSession
     counts = sorted((r["dim"], r["cell"], r["count"]) for r in rows.groupBy("dim", "cell").count().collect())  # at most PIVOTS a length
     places, block, filled, was = [], -1, 0, None
@@ -154,7 +156,7 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
         places.append((dim, cell, block, parts))
         block, filled = block + parts - 1, filled + n if parts == 1 else size
     where = F.broadcast(spark.createDataFrame(places, "dim int, cell int, first long, parts long"))  # one row a cell
-    dealt = rows.join(where, ["dim", "cell"]).withColumn("block", F.col("first") + F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("parts")))
+    dealt = rows.join(where, ["dim", "cell"]).withColumn("block", F.col("first") + F.pmod(F.xxhash64("id", tie), F.col("parts")))
 
     def pack(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("id", kind="stable")
@@ -188,8 +190,8 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id: str = "vec_id", vector
             yield p
 
     rows = checkpoint(rows.mapInPandas(locate, "id long, v array<long>, dim int, cell int"))
-    blocks = packed(rows, CANDIDATES)
-    batches = packed(rows.where(F.col("id") % every == 0).dropDuplicates(["id", "v"]), QUERIES).withColumnRenamed("block", "batch")
+    blocks = packed(rows, CANDIDATES, F.monotonically_increasing_id())  # rows of a scan keep their places
+    batches = packed(rows.where(F.col("id") % every == 0).dropDuplicates(["id", "v"]), QUERIES, F.col("v")).withColumnRenamed("block", "batch")
     batches = batches.select("dim", "batch", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("vs").alias("qs"), F.col("cells").alias("qcells"))
 
     def summarise(found):
