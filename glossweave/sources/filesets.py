@@ -26,9 +26,9 @@ DERIVED = {"derived_transliteration_dict.tsv": "English\tJapanese\tOrigin\tSourc
 AUTO_RESOLVE = "Plugin TotalCount AutoResolvedCount RemainingCount AutoResolvedRatio(%) TotalChars AutoResolvedChars RemainingChars AutoResolvedCharsRatio(%) SampleRemaining".split()
 ACTIVE = "Index FileName HasTranslatableContent".split()
 REVIEW = "## 要レビュー（DSD翻訳は適用されているが、原文が変わった可能性あり）"
-CANDIDATE_HEAD = ["# Skyrim JP翻訳候補リスト (PickUpTarget)", "# プロファイル: {profile}", "# 生成日時: {time}", "# 対象候補数: {n}", "# 対象範囲: FULL(名前)のみ。DESC/会話文等は今後拡張予定", ""]
+CANDIDATE_HEAD = ["# JP翻訳候補リスト", "# プロファイル: {profile}", "# 生成日時: {time}", "# 対象候補数: {n}", "# 対象範囲: FULL(名前)のみ。DESC/会話文等は今後拡張予定", ""]
 INDEX_HEAD = ["# Translation 一括生成インデックス（候補数の多い順）", "# 生成日時: {time}", "# プラグイン数: {plugins}, 候補総数: {total}, 自動解決: {resolved}", ""]
-JSON_NAME = "SKSE/Plugins/DynamicStringDistributor/{plugin}/zzz_SkyrimJPStringPatcher_{stamp}.json"
+JSON_NAME = "SKSE/Plugins/DynamicStringDistributor/{plugin}/zzz_SJPTS_{stamp}.json"
 # ---------------------------------------------------------------------------------------------------
 
 

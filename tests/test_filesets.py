@@ -35,7 +35,7 @@ def test_candidate_list(spark, tmp_path):
     for notes, end in ((review, "## 要レビュー（DSD翻訳は適用されているが、原文が変わった可能性あり）\n  first\n  second\n"), (review.limit(0), "")):
         filesets.write_file_set(filesets.candidate_list(rows, notes, "P", "2026-01-02 03:04:05"), str(tmp_path / "o"), filesets.ORDER)
         assert texts(tmp_path / "o")["candidates.txt"] == (
-            "﻿# Skyrim JP翻訳候補リスト (PickUpTarget)\n# プロファイル: P\n# 生成日時: 2026-01-02 03:04:05\n# 対象候補数: 3\n# 対象範囲: FULL(名前)のみ。DESC/会話文等は今後拡張予定\n\n"
+            "﻿# JP翻訳候補リスト\n# プロファイル: P\n# 生成日時: 2026-01-02 03:04:05\n# 対象候補数: 3\n# 対象範囲: FULL(名前)のみ。DESC/会話文等は今後拡張予定\n\n"
             "## A.esp (2件)\n  1|A\t[WEAP FULL]\tAxe\n  2|A\t[WEAP FULL]\tSword\n\n## B.esp (1件)\n  1|B\t[ARMO FULL]\tBoots\n\n" + end
         )
 
@@ -44,7 +44,7 @@ def test_json_names_and_text(spark, tmp_path):
     rows = spark.createDataFrame([("A.esp", 2, "1|A", "", 0, "WEAP FULL", 'say "x"', "剣", "s"), ("A.esp", 1, "2|A", "Ed", 3, "MISC FULL", "a\\b", "é<", "")], "plugin string, row_id int, form_id string, editor_id string, index int, type string, original string, string string, status string")
     filesets.write_file_set(filesets.json_lines(rows, "20260102030405"), str(tmp_path / "o"), filesets.ORDER, bom=False)
     (path, text), *more = texts(tmp_path / "o").items()
-    assert not more and path == "SKSE/Plugins/DynamicStringDistributor/A.esp/zzz_SkyrimJPStringPatcher_20260102030405.json"
+    assert not more and path == "SKSE/Plugins/DynamicStringDistributor/A.esp/zzz_SJPTS_20260102030405.json"
     entry = lambda *v: "  {\n" + ",\n".join(f'    "{k}": {x}' for k, x in zip(("form_id", "editor_id", "index", "type", "original", "string", "status"), v)) + "\n  }"
     assert text == "[\n" + entry('"2|A"', '"Ed"', "3", '"MISC FULL"', '"a\\\\b"', '"é<"', '""') + ",\n" + entry('"1|A"', '""', "0", '"WEAP FULL"', '"say \\"x\\""', '"剣"', '"s"') + "\n]\n"
     good, bad = files.json_entries(spark, str(tmp_path / "o" / path))
