@@ -110,6 +110,24 @@ def test_speculation_agrees_with_exact_merging(vocabulary):
     assert all(coder.cache[w] == np.array(coder.merge(w), "<u4").tobytes() for w in words)
 
 
+def test_failing_words_are_merged_together(vocabulary, library, monkeypatch):
+    coder, rng = bpe.Encoder(vocabulary), random.Random(9)
+    pools = "ab", "etaoinshrdlu", "éßあи中", "!?.-_~"
+    words = {"".join(rng.choices(rng.choice(pools), k=rng.randint(1, 21))) for _ in range(3000)} | {c * n for c in "ao!" for n in range(1, 65)}
+    words |= {"a" * 65, "ab" * 500}  # too long for rounds
+    exact = {w: coder.merge(w) for w in words}
+    for w in words:
+        assert exact[w] == library.encode(w, add_special_tokens=False).ids
+    one_by_one, merge = [], bpe.Encoder.merge
+    monkeypatch.setattr(bpe.Encoder, "merge", lambda self, w: one_by_one.append(w) or merge(self, w))
+    coder.learn(words)
+    assert all(coder.cache[w] == np.array(exact[w], "<u4").tobytes() for w in words)
+    assert set(one_by_one) <= {"a" * 65, "ab" * 500}
+    short = sorted(w for w in words if len(w) < 65)
+    flat, count = coder.merge_all(short)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])] == [exact[w] for w in short]
+
+
 def test_bpe_query(spark, vocabulary, library):
     docs = {r.doc_id: r.text or "" for r in common.table(spark, DATA, "documents").select("doc_id", "text").collect()}
     got = op10_bpe(spark, DATA).collect()
